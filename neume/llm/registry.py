@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from neume.llm import near_dedup
+from neume.llm import line_dedup, near_dedup, toxicity
 
-MODULES = [near_dedup]
+MODULES = [line_dedup, toxicity, near_dedup]
 
 
 def queries() -> dict[str, Callable]:
