@@ -1,30 +1,58 @@
-"""Corpus pipeline: the training-data operators one after another over ``documents``."""
+"""Corpus pipeline: the training-data operators one after another over ``documents``.
+
+toxicity -> line dedup -> near-duplicate removal -> benchmark decontamination -> mixing to target
+weights.  The first four return the columns of ``documents``; the last returns one row per document that
+is left, with the words the mix takes of it.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from neume.llm.common import table
+from neume.llm.decontam import without_contaminated
+from neume.llm.line_dedup import without_boilerplate
+from neume.llm.mixing import mix
 from neume.llm.near_dedup import near_duplicates
-from neume.storage import fresh_path
+from neume.llm.toxicity import learn, without_toxic
+from neume.storage import materialize
+
+
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier rejects go."""
+    return without_toxic(docs, learn(docs, table(spark, sf_dir, "labels")))
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines on many sources are taken out of the texts; every document stays."""
+    return without_boilerplate(docs).select(*docs.columns)
 
 
-def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Near-duplicate groups keep the document with the smallest id."""
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near copies the document with the smallest id stays."""
     kept = near_duplicates(docs).where("kept").select("doc_id").distinct()
     return docs.join(kept, docs.doc_id.eqNullSafe(kept.doc_id), "left_semi")
 
 
-STAGES = [("near_dedup", one_of_each_group)]
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that overlap a benchmark item go."""
+    return without_contaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """What the mix takes of each document."""
+    return mix(docs)
+
+
+STAGES = [("toxicity", toxicity), ("line_dedup", line_dedup), ("near_dedup", near_dedup), ("decontamination", decontamination), ("mixing", mixing)]
 
-#: Learned weights, sketches and seeded draws have no SQL form; tests/llm compares with brute force.
+#: Learned weights and seeded draws have no SQL form; tests/llm compares the stages with brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each stage's rows are written as Parquet to the shared folder and read by the next."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        path = fresh_path(spark, f"pipeline-{name}")
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
     return STAGES[-1][1](spark, docs, sf_dir)

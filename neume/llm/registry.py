@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from neume.llm import line_dedup, near_dedup, toxicity
+from neume.llm import decontam, line_dedup, mixing, near_dedup, toxicity
 
-MODULES = [line_dedup, toxicity, near_dedup]
+MODULES = [line_dedup, toxicity, decontam, near_dedup, mixing]
 
 
 def queries() -> dict[str, Callable]:
