@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from neume.llm import decontam, line_dedup, mixing, near_dedup, toxicity
+from neume.llm import decontam, licenses, line_dedup, mixing, near_dedup, quality, toxicity, warc
 
-MODULES = [line_dedup, toxicity, decontam, near_dedup, mixing]
+MODULES = [line_dedup, toxicity, licenses, warc, decontam, quality, mixing, near_dedup]
 
 
 def queries() -> dict[str, Callable]:
