@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from neume.llm import decontam, licenses, line_dedup, mixing, near_dedup, quality, toxicity, warc
+from neume.llm import decontam, language, licenses, line_dedup, mixing, near_dedup, pii, quality, toxicity, warc
 
-MODULES = [line_dedup, toxicity, licenses, warc, decontam, quality, mixing, near_dedup]
+MODULES = [line_dedup, toxicity, licenses, warc, decontam, quality, pii, mixing, near_dedup, language]
 
 
 def queries() -> dict[str, Callable]:
