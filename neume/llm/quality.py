@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from neume.llm.common import WordHashes, mixed, table
+from neume.llm.common import WordHashes, mixed, small_batches, table
 
 RUN = 5  # words in a window
 #: Rules in bit order: name, failure.  A rule fails on measurements only.
@@ -81,6 +81,7 @@ def ledger(docs: DataFrame) -> DataFrame:
 
     Null and empty texts have no words: all measurements 0.  Any type of doc_id passes through.
     """
+    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashes = WordHashes()

@@ -19,13 +19,13 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from neume.llm.common import WordHashes, fold, mixed, table
+from neume.llm.common import WordHashes, fold, mixed, small_batches, table
 
-SAMPLE = 8_000  # labelled rows that learning sees, on average
+SAMPLE = 6_000  # labelled rows that learning sees, on average
 FOLDS = 5
 #: Per-coordinate rate alpha / (beta + sqrt(sum of squared gradients)); L1 and L2 strength; passes; least documents of a feature.
 ALPHA, BETA, L1, L2, PASSES, MIN_DOCS = 1.0, 1.0, 3.0, 1.0, 8, 5
-HASH_BITS = 40
+HASH_BITS = 32
 
 _WORDS = re.compile(r"\w+")
 _PAIR, _TRIPLE, _SKIP = (mixed(np.arange(k, k + 3, dtype=np.uint64)) | np.uint64(1) for k in (11, 21, 31))
@@ -43,22 +43,26 @@ def features(text: str | None, hashes: WordHashes) -> np.ndarray:
         mixed(h[:-2] * _TRIPLE[0] + h[1:-1] * _TRIPLE[1] + h[2:] * _TRIPLE[2]),
         mixed(h[:-2] * _SKIP[0] + h[2:] * _SKIP[1]),
     ]
-    return np.concatenate(parts) >> np.uint64(64 - HASH_BITS)
+    return (np.concatenate(parts) >> np.uint64(64 - HASH_BITS)).astype(np.uint32)
 
 
 def ftrl(rows: list[np.ndarray], labels: np.ndarray, seed: int = 7) -> tuple[np.ndarray, np.ndarray, float]:
     """Sorted feature hashes with non-zero weight, their weights, and the bias."""
     if not len(rows):
-        return np.empty(0, np.uint64), np.empty(0), -np.inf
-    names, at, docs = np.unique(np.concatenate(rows), return_inverse=True, return_counts=True)
-    used = docs >= MIN_DOCS
-    place = np.where(used, np.cumsum(used), 0)  # 0 is the bias
-    names, size = names[used], int(used.sum()) + 1
-    ends = np.cumsum([len(r) for r in rows])
-    index = []
-    for end, r in zip(ends, rows, strict=True):
-        own = place[at[end - len(r) : end]]
-        index.append(np.concatenate([[0], own[own > 0]]))
+        return np.empty(0, np.uint32), np.empty(0), -np.inf
+    # documents by hash cell: most features are too rare, and fall here before anything is sorted
+    cells = np.zeros(1 << 22, np.int32)
+    for r in rows:
+        np.add.at(cells, r & np.uint32(len(cells) - 1), 1)
+    rows = [r[cells[r & np.uint32(len(cells) - 1)] >= MIN_DOCS] for r in rows]
+    names, docs = np.unique(np.concatenate(rows), return_counts=True)
+    names = names[docs >= MIN_DOCS]
+    size, index = len(names) + 1, []  # 0 is the bias
+    for r in rows:
+        at = np.searchsorted(names, r)
+        found = at < len(names)
+        found[found] = names[at[found]] == r[found]
+        index.append(np.concatenate([[0], at[found] + 1]))
     z, n = np.zeros(size), np.zeros(size)
     l1 = np.full(size, L1)
     l1[0] = 0.0
@@ -92,6 +96,7 @@ def _labelled(docs: DataFrame, labels: DataFrame, sample: int) -> DataFrame:
 
 def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[np.ndarray, np.ndarray, float]:
     """Learn from ``labels`` (doc_id, toxic) of ``docs``; one task sees the bounded sample's features."""
+    small_batches(docs.sparkSession)
 
     def extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashes = WordHashes()
@@ -101,14 +106,14 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[np.
 
     def train(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("doc_id", kind="stable")
-        names, w, bias = ftrl([np.frombuffer(f, np.uint64) for f in rows.f], rows.y.to_numpy(float))
+        names, w, bias = ftrl([np.frombuffer(f, np.uint32) for f in rows.f], rows.y.to_numpy(float))
         return pd.DataFrame({"names": [names.tobytes()], "w": [w.tobytes()], "bias": [bias]})
 
     rows = _labelled(docs, labels, sample).mapInPandas(extract, "doc_id long, y int, f binary")
     got = rows.groupBy(F.lit(0).alias("all")).applyInPandas(train, "names binary, w binary, bias double").collect()
     if not got:
-        return np.empty(0, np.uint64), np.empty(0), -np.inf
-    return np.frombuffer(bytes(got[0].names), np.uint64), np.frombuffer(bytes(got[0].w)), got[0].bias
+        return np.empty(0, np.uint32), np.empty(0), -np.inf
+    return np.frombuffer(bytes(got[0].names), np.uint32), np.frombuffer(bytes(got[0].w)), got[0].bias
 
 
 def scorer(model: tuple[np.ndarray, np.ndarray, float]) -> Callable[[str | None, WordHashes], float]:
@@ -131,6 +136,7 @@ def toxicity(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float]) -> Da
     Null and empty texts score by the bias alone.  Where nothing could be learnt (no labelled row)
     every score is 0.  A null doc_id is scored like any row; its held_out is null.
     """
+    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         score, hashes = scorer(model), WordHashes()
@@ -144,6 +150,7 @@ def toxicity(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float]) -> Da
 
 def without_toxic(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float]) -> DataFrame:
     """The rows of ``docs``, with all their columns, that score below one half; no shuffle."""
+    small_batches(docs.sparkSession)
 
     @F.pandas_udf("boolean")
     def clean(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
