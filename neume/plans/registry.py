@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-MODULES: list = []
+from neume.plans import sequence_queries, spatial_queries
+
+MODULES = [spatial_queries, sequence_queries]
 
 
 def queries() -> dict[str, Callable]:
