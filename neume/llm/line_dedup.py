@@ -5,7 +5,7 @@ each line hash the sites it stands on are gathered in HyperLogLog sketches, whic
 before the shuffle, so that a line on a third of all pages costs one sketch a task.  Lines whose
 estimate is clear of the threshold by three standard errors are decided by it; the few near it get an
 exact count of distinct sites.  Lines on ``min_sites`` sites or more are taken out of every document,
-except from documents they make up more than half of: those are copies, not pages with boilerplate, and
+except from documents they make up more than half of (in characters): those are copies, not pages with boilerplate, and
 go to near-duplicate removal whole.
 
 All of it is DataFrame expressions.
@@ -23,29 +23,35 @@ MIN_SITES = 10
 #: 2^10 sketch registers: a standard error of 1.04 / 32.
 LOG_REGISTERS = 10
 BAND = 3 * 1.04 / 2 ** (LOG_REGISTERS / 2)
-#: A document that boilerplate makes up more than this share of (in characters of normal form) stays whole.
+#: A document that boilerplate makes up more than this share of (in characters) stays whole.
 MOST_REMOVED = 0.5
 
 
 def normal_form(line: Column) -> Column:
-    return F.lower(F.trim(F.regexp_replace(line, r"[\s ]+", " ")))
+    odd = line.contains("  ") | line.contains("\t") | line.contains("\r") | line.contains("\u00a0") | line.contains("\x0b") | line.contains("\x0c")
+    return F.trim(F.lower(F.when(odd, F.regexp_replace(line, r"[\s\u00a0]+", " ")).otherwise(line)))
 
 
-def _lines(docs: DataFrame, site: str) -> DataFrame:
-    """(row, pos, line, site): every line with visible text; ``row`` identifies equal (doc_id, text)."""
-    row = docs.select(F.xxhash64("doc_id", "text").alias("row"), F.col("doc_id"), F.col(site).cast("string").alias("site"), F.posexplode(F.split("text", "\n")).alias("pos", "raw"))
-    form = row.select("row", "doc_id", "site", "pos", normal_form(F.col("raw")).alias("form")).where("form <> ''")
-    return form.select("row", "doc_id", "site", "pos", F.length("form").alias("size"), F.xxhash64("form").alias("line"))
+def line_table(docs: DataFrame, site: str = "source") -> DataFrame:
+    """(row, doc_id, site, pos, line, size, total): every line with visible text, written to the shared folder.
+
+    ``row`` identifies equal (doc_id, text); ``size`` and ``total`` are the characters of the line and of all
+    the text.  The texts are read and normalised once, here.
+    """
+    rows = docs.select(F.xxhash64("doc_id", "text").alias("row"), "doc_id", F.col(site).cast("string").alias("site"), F.length("text").alias("total"), F.posexplode_outer(F.split("text", "\n")).alias("pos", "raw"))
+    lines = rows.select("row", "doc_id", "site", "pos", F.xxhash64(normal_form(F.col("raw"))).alias("line"), F.length("raw").alias("size"), "total")
+    # blank lines go after reading back: a filter here would be pushed down and normalise every line twice
+    return materialize(lines, "lines").where(F.col("line") != F.xxhash64(F.lit("")))
 
 
-def boilerplate(docs: DataFrame, site: str = "source", min_sites: int = MIN_SITES) -> DataFrame:
+def boilerplate(lines: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
     """(line): hashes of the lines on at least ``min_sites`` distinct sites (a null site is no site)."""
-    lines = _lines(docs, site).where("site is not null").select("line", "site")
-    sketched = lines.groupBy("line").agg(F.hll_sketch_agg("site", LOG_REGISTERS).alias("sites"))
+    placed = lines.where("site is not null").select("line", "site")
+    sketched = placed.groupBy("line").agg(F.hll_sketch_agg("site", LOG_REGISTERS).alias("sites"))
     guess = sketched.select("line", F.hll_sketch_estimate("sites").alias("guess")).where(F.col("guess") >= min_sites * (1 - BAND))
     guess = materialize(guess, "line-spread")
     near = guess.where(F.col("guess") <= min_sites * (1 + BAND)).select("line")
-    exact = lines.join(near, "line", "left_semi").distinct().groupBy("line").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_sites)
+    exact = placed.join(near, "line", "left_semi").distinct().groupBy("line").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_sites)
     return guess.where(F.col("guess") > min_sites * (1 + BAND)).select("line").unionByName(exact.select("line"))
 
 
@@ -55,19 +61,15 @@ def without_boilerplate(docs: DataFrame, site: str = "source", min_sites: int =
     Null texts stay null, empty ones empty; a null site counts for no line's spread, but its documents
     are cleaned too.  Rows that repeat get equal results.  Lines that remain keep their bytes and order.
     """
-    texts = docs.select(F.col("doc_id"), F.col("text"), F.col(site))
-    found = materialize(boilerplate(texts, site, min_sites), "boilerplate")
-    hits = _lines(texts, site).select("row", "doc_id", "pos", "size", "line").join(found, "line", "left_semi")
-    by_row = hits.distinct().groupBy("row", "doc_id").agg(F.collect_list("pos").alias("drop"), F.sum("size").alias("size"))
-    by_row = by_row.select(F.col("row").alias("hit_row"), F.col("doc_id").alias("hit_id"), F.col("drop").alias("hit_pos"), F.col("size").alias("hit_size"))
+    lines = line_table(docs.select("doc_id", "text", F.col(site)), site)
+    found = boilerplate(lines, min_sites)
+    hits = lines.select("row", "doc_id", "pos", "size", "total", "line").join(found, "line", "left_semi").distinct()
+    by_row = hits.groupBy("row", "doc_id").agg(F.collect_list("pos").alias("hit_pos"), F.sum("size").alias("size"), F.max("total").alias("total"))
+    by_row = by_row.where(F.col("size") <= most_removed * F.col("total")).select(F.col("row").alias("hit_row"), F.col("doc_id").alias("hit_id"), "hit_pos")
     same = (F.xxhash64(docs["doc_id"], docs["text"]) == by_row.hit_row) & docs["doc_id"].eqNullSafe(by_row.hit_id)
     joined = docs.join(by_row, same, "left")
-    lines = F.split(docs["text"], "\n")
-    visible = F.length(F.regexp_replace(docs["text"], r"[\s ]+", ""))
-    # the size of normal forms counts the blanks inside lines, as the share's denominator does below
-    blanks = F.length(F.regexp_replace(F.trim(F.regexp_replace(docs["text"], r"[\s ]+", " ")), r"[^ ]+", ""))
-    take = F.col("hit_pos").isNotNull() & (F.col("hit_size") <= most_removed * (visible + blanks))
-    rest = F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), "hit_pos"), lambda i: F.get(lines, i))
+    take, parts = F.col("hit_pos").isNotNull(), F.split(docs["text"], "\n")
+    rest = F.transform(F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), "hit_pos"), lambda i: F.get(parts, i))
     text = F.when(take, F.array_join(rest, "\n")).otherwise(docs["text"])
     out = []
     for c in docs.columns:
@@ -97,9 +99,9 @@ forms AS (SELECT *, lower(trim(regexp_replace(raw, '[\s\x{a0}]+', ' ', 'g'))) AS
 spread AS (SELECT form FROM forms WHERE form <> '' GROUP BY form HAVING count(DISTINCT source) >= 10),
 marked AS (SELECT f.*, s.form IS NOT NULL AS hit FROM forms f LEFT JOIN spread s ON f.form = s.form),
 cleaned AS (
-  SELECT doc_id, coalesce(sum(length(form)) FILTER (hit), 0) AS hit_size, count(*) FILTER (hit) AS n_hit,
+  SELECT doc_id, coalesce(sum(length(raw)) FILTER (hit), 0) AS hit_size, count(*) FILTER (hit) AS n_hit,
          coalesce(string_agg(raw, chr(10) ORDER BY pos) FILTER (NOT hit), '') AS rest,
-         length(trim(regexp_replace(any_value(text), '[\s\x{a0}]+', ' ', 'g'))) AS all_size
+         length(any_value(text)) AS all_size
   FROM marked GROUP BY doc_id)
 SELECT d.doc_id, CASE WHEN c.n_hit > 0 AND c.hit_size <= 0.5 * c.all_size THEN c.rest ELSE d.text END AS text,
        CASE WHEN c.n_hit > 0 AND c.hit_size <= 0.5 * c.all_size THEN c.n_hit ELSE 0 END AS lines_removed

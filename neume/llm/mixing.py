@@ -195,7 +195,8 @@ class Mix:
 
     def taken(self) -> DataFrame:
         """doc_id, size, source_size, target, taken: a row for every row of the documents."""
-        met = self.pieces().join(self.slot_table().select("source_no", "block", "use"), ["source_no", "block"])
+        # exploded from a few rows, the slots look small to the planner: without the hint it would broadcast them all
+        met = self.pieces().hint("merge").join(self.slot_table().select("source_no", "block", "use").hint("merge"), ["source_no", "block"])
         words = F.greatest(F.least("high", "use") - F.col("low"), F.lit(0))
         by_doc = met.groupBy("source_no", "offset").agg(F.sum(words).alias("taken"))
         ids = self.source_table()
@@ -220,7 +221,7 @@ class Mix:
         begin = F.col("block") * F.lit(self.block) + F.col("low") - F.col("offset")
         part = cut.select("source_no", "block", "low", F.slice("words", begin.cast("int") + 1, (F.col("high") - F.col("low")).cast("int")).alias("part"))
         block = part.groupBy("source_no", "block").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("low", "part"))), lambda x: x["part"])).alias("words"))
-        return self.slot_table().join(block, ["source_no", "block"]).select("shard", "slot", "source_no", F.slice("words", F.lit(1), F.col("use").cast("int")).alias("words"))
+        return self.slot_table().hint("merge").join(block.hint("merge"), ["source_no", "block"]).select("shard", "slot", "source_no", F.slice("words", F.lit(1), F.col("use").cast("int")).alias("words"))
 
 
 def mix(docs: DataFrame) -> DataFrame:

@@ -10,9 +10,11 @@ null and empty texts have the empty set).  Documents are linked if 100 * |A & B|
    class, so that a group of copies of any size is one row from here on.
 2. Empty buckets borrow a full one at a hashed place, the same for every document, and 51 bands of
    5 registers are hashed.  A pair at the threshold shares no band with a chance of about 1e-6.
-3. In each band's group the smallest document is the pivot, and members are paired with it, which is
-   linear in the group.  Pairs must pass the size bound (exact) and the collision-corrected Jaccard
-   estimate (0.15, over five deviations, below the threshold); then both full sets are compared.
+3. In each band's group the smallest document is the pivot; members are paired with it, which is linear
+   in the group.  A document is first compared with the smallest of its pivots, and with the others only
+   where they still lie in another component.  Pairs must pass the size bound (exact) and the
+   collision-corrected Jaccard estimate (0.15, over five deviations, below the threshold); then both full
+   sets are compared.
 4. Linked classes form components.  Groups whose members still lie in several components are gone
    over: every two members of unequal components that aren't yet compared are paired and checked in
    the same way, so no link that a band shows is lost because the pivot didn't show it.
@@ -28,7 +30,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from neume.llm.common import WordHashes, mixed, table
+from neume.llm.common import WordHashes, mixed, small_batches, table
 from neume.operators.components import connected_components
 from neume.storage import drop, materialize
 
@@ -143,17 +145,7 @@ def _sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         digests = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
         keep = np.fromiter((d == e for d, e in zip(digests, batch.digest, strict=True)), bool, len(sets))
         for at in np.array_split(np.flatnonzero(keep), max(1, len(sets) // 64)):
-            yield pd.DataFrame({"node": batch.node.to_numpy()[at], "members": [sets[i].tobytes() for i in at]})
-
-
-def _linked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        keep = np.zeros(len(batch), bool)
-        for i, (x, y) in enumerate(zip(batch.set_a, batch.set_b, strict=True)):
-            p, q = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-            both = len(np.intersect1d(p, q, assume_unique=True))
-            keep[i] = 100 * both >= THRESHOLD * (len(p) + len(q) - both)
-        yield batch.loc[keep, ["a", "b"]]
+            yield pd.DataFrame({"node": batch.node.to_numpy()[at], "members": [sets[i].view(np.int64) for i in at]})
 
 
 def _sizes_allow(n: Column, m: Column) -> Column:
@@ -167,13 +159,22 @@ def _verified(pairs: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFra
     nodes = materialize(likely.select(F.col("a").alias("node")).union(likely.select("b")).distinct().join(classes.select("node", "digest"), "node"), "nodes")
     wanted = F.broadcast(nodes) if nodes.count() <= BROADCAST_IDS else nodes
     rows = texts.select(F.col("doc_id").cast("long").alias("node"), "text").join(wanted, "node")
-    sets = materialize(rows.mapInPandas(_sets, "node long, members binary").dropDuplicates(["node"]), "sets")
+    sets = materialize(rows.mapInPandas(_sets, "node long, members array<bigint>").dropDuplicates(["node"]), "sets")
     full = lambda x: sets.select(F.col("node").alias(x), F.col("members").alias(f"set_{x}"))
-    links = materialize(likely.join(full("a"), "a").join(full("b"), "b").mapInPandas(_linked, "a long, b long"), "links")
+    common = likely.join(full("a"), "a").join(full("b"), "b").withColumn("common", F.size(F.array_intersect("set_a", "set_b")))
+    union = F.size("set_a") + F.size("set_b") - F.col("common")
+    links = materialize(common.where(F.col("common") * 100 >= union * THRESHOLD).select("a", "b"), "links")
     drop(likely, nodes, sets)
     return links
 
 
+def _apart(pairs: DataFrame, components: DataFrame) -> DataFrame:
+    """The pairs whose nodes lie in different components (a node that isn't listed is its own)."""
+    side = lambda x: components.select(F.col("node").alias(x), F.col("component").alias(f"c_{x}"))
+    placed = pairs.join(side("a"), "a", "left").join(side("b"), "b", "left")
+    return placed.where(F.coalesce("c_a", "a") != F.coalesce("c_b", "b"))
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text): doc_id, n_shingles, component_id, kept.
 
@@ -181,6 +182,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     null doc_id can't stand for a component: such a row keeps null as component_id and is kept.
     Rows of one doc_id are one node of the graph.  Other columns, of any name, aren't read.
     """
+    small_batches(docs.sparkSession)
     texts = docs.select("doc_id", "text")
     rows = texts.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     signed = materialize(rows.mapInPandas(_sketches, "doc_id long, n long, digest binary, regs binary"), "sketches")
@@ -192,25 +194,33 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     groups = bands.groupBy("key").agg(F.min("node").alias("pivot"), F.count(F.lit(1)).alias("members"), F.min(F.struct("node", "n"))["n"].alias("pivot_n")).where("members > 1").drop("members")
     shared = materialize(bands.join(groups, "key"), "groups")
 
-    with_pivot = shared.where("node <> pivot").where(_sizes_allow(F.col("n"), F.col("pivot_n")))
-    links = _verified(with_pivot.select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct(), classes, texts)
+    pivots = shared.where("node <> pivot").where(_sizes_allow(F.col("n"), F.col("pivot_n")))
+    pivots = materialize(pivots.select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct(), "pivots")
+    nearest = pivots.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
+    links = _verified(nearest, classes, texts)
     found = materialize(connected_components(links), "components")
+    apart = _apart(pivots.join(nearest, ["a", "b"], "left_anti"), found)
+    more = _verified(apart.select("a", "b"), classes, texts)
+    drop(found)
+    found = materialize(connected_components(links.unionByName(more)), "components")
 
-    placed = shared.select("key", "node", "n", "pivot").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    placed = shared.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     split = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("key")
-    open_rows = materialize(placed.join(split, "key"), "open")
-    one_side = lambda x: open_rows.where("node <> pivot").select("key", F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("component").alias(f"c_{x}"))
+    open_rows = materialize(placed.where("node <> pivot").join(split, "key").select("key", "node", "n", "component"), "open")
+    one_side = lambda x: open_rows.select("key", F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("component").alias(f"c_{x}"))
     rest = one_side("a").join(one_side("b"), "key").where("a < b and c_a <> c_b").where(_sizes_allow(F.col("n_a"), F.col("n_b")))
-    more = _verified(rest.select("a", "b").distinct(), classes, texts)
-    all_links = links.unionByName(more)
-    final = materialize(connected_components(all_links), "components")
+    last = _verified(rest.select("a", "b").distinct(), classes, texts)
+    final = found
+    if not last.isEmpty():
+        final = materialize(connected_components(links.unionByName(more).unionByName(last)), "components")
+        drop(found)
 
     of_class = classes.select("digest", "node").join(final, "node", "left").select("digest", F.coalesce("component", "node").alias("component"))
     out = signed.select("doc_id", "n", "digest").join(of_class, "digest", "left")
     alone = F.col("doc_id").isNull() | F.col("digest").isNull()
     component = F.when(alone, F.col("doc_id")).otherwise(F.col("component"))
     out = out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
-    drop(shared, found, open_rows, links, more)
+    drop(shared, pivots, open_rows, links, more, last)
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
