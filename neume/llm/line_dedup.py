@@ -68,8 +68,8 @@ def without_boilerplate(docs: DataFrame, site: str = "source", min_sites: int =
     by_row = by_row.where(F.col("size") <= most_removed * F.col("total")).select(F.col("row").alias("hit_row"), F.col("doc_id").alias("hit_id"), "hit_pos")
     same = (F.xxhash64(docs["doc_id"], docs["text"]) == by_row.hit_row) & docs["doc_id"].eqNullSafe(by_row.hit_id)
     joined = docs.join(by_row, same, "left")
-    take, parts = F.col("hit_pos").isNotNull(), F.split(docs["text"], "\n")
-    rest = F.transform(F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), "hit_pos"), lambda i: F.get(parts, i))
+    take, parts = by_row["hit_pos"].isNotNull(), F.split(docs["text"], "\n")
+    rest = F.transform(F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), by_row["hit_pos"]), lambda i: F.get(parts, i))
     text = F.when(take, F.array_join(rest, "\n")).otherwise(docs["text"])
     out = []
     for c in docs.columns:
@@ -79,7 +79,7 @@ def without_boilerplate(docs: DataFrame, site: str = "source", min_sites: int =
             out.append(F.when(take, F.length(text)).otherwise(docs[c]).cast(docs.schema[c].dataType).alias(c))
         else:
             out.append(docs[c])
-    return joined.select(*out, F.when(take, F.size("hit_pos")).otherwise(0).cast("long").alias("lines_removed"))
+    return joined.select(*out, F.when(take, F.size(by_row["hit_pos"])).otherwise(0).cast("long").alias("lines_removed"))
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
