@@ -1,0 +1,205 @@
+"""Operators without SQL against plain Python over whole small tables, round trips, and held-out accuracy."""
+
+from __future__ import annotations
+
+import collections
+import hashlib
+import itertools
+import random
+import re
+import zlib
+
+import numpy as np
+import pytest
+
+from neume.llm import decontam, licenses, mixing, near_dedup, pii, registry, warc
+from neume.llm.common import table
+from tests.compare import spark_rows, sql_rows
+from tests.conftest import SF
+from tests.llm.conftest import prose
+
+SF01 = "/root/testdata/sf0.01"
+
+
+@pytest.mark.parametrize("name", sorted(registry.oracle_sql()))
+def test_matches_sql(spark, name):
+    assert spark_rows(registry.queries()[name](spark, SF)) == sql_rows(registry.oracle_sql()[name], SF)
+
+
+def _shingles(text):
+    w = text.encode().lower().split() if text else []
+    return frozenset(tuple(w[i : i + 5]) for i in range(len(w) - 4)) if len(w) >= 5 else frozenset([tuple(w)] if w else [])
+
+
+def _components(sets):
+    inverted = collections.defaultdict(list)
+    for i, s in sets.items():
+        for x in s:
+            inverted[x].append(i)
+    common = collections.Counter(p for own in inverted.values() for p in itertools.combinations(sorted(own), 2))
+    root = {i: i for i in sets}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for (a, b), c in common.items():
+        if 100 * c >= 75 * (len(sets[a]) + len(sets[b]) - c):
+            x, y = find(a), find(b)
+            root[max(x, y)] = min(x, y)
+    return {i: find(i) for i in sets}
+
+
+def test_near_dedup_on_table(spark):
+    docs = table(spark, SF01, "documents")
+    sets = {r.doc_id: _shingles(r.text) for r in docs.select("doc_id", "text").collect()}
+    out = near_dedup.near_duplicates(docs).collect()
+    assert {r.doc_id: r.component_id for r in out} == _components(sets)
+    assert all(r.n_shingles == len(sets[r.doc_id]) and r.kept == (r.doc_id == r.component_id) for r in out)
+
+
+def test_near_dedup_near_the_threshold(spark):
+    """A large group of copies with edits, most pairs of which are just below or above the threshold."""
+    rng = random.Random(1)
+    base = prose(77, 120).split()
+    texts = []
+    for _ in range(160):
+        w = list(base)
+        for _ in range(rng.randint(1, 6)):
+            w[rng.randrange(len(w))] = f"x{rng.randrange(10_000)}"
+        texts.append(" ".join(w))
+    texts += [" ".join(base[:k]) for k in (1, 2, 3, 4, 5, 6, 7, 8, 20, 40)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(df).collect()}
+    assert got == _components({i: _shingles(t) for i, t in enumerate(texts)})
+
+
+def test_sketches_estimate():
+    rng = np.random.default_rng(2)
+    for n, share in ((40, 0.8), (400, 0.75), (4000, 0.5)):
+        pool = np.unique(rng.integers(0, 2**64, 2 * n, dtype=np.uint64))
+        k = int(n * 2 * share / (1 + share))
+        a, b = np.sort(pool[:n]), np.sort(pool[n - k : 2 * n - k])
+        x, y = (near_dedup.registers(s)[None] for s in (a, b))
+        est = near_dedup.estimated_jaccard(x, y, np.array([n]), np.array([n]))[0]
+        assert abs(est - k / (2 * n - k)) < 0.12
+
+
+def _tokens(text):
+    return re.findall(r"[^\W_]+", (text or "").lower())
+
+
+def test_decontamination(spark):
+    items = {i: prose(900 + i, n) for i, n in enumerate((16, 25, 60, 200))}
+    docs = {}
+    rng = random.Random(5)
+    for d in range(40):
+        w = prose(d, 80).split()
+        if d % 2:
+            item = items[d % 4].split()
+            part = item[: max(16, len(item) // 2)] if d % 3 else item
+            part = [("zzz" if d % 5 == 0 and j % 9 == 8 else t) for j, t in enumerate(part)]
+            at = rng.randrange(len(w))
+            w[at:at] = part
+        docs[d] = " ".join(w)
+    hits = decontam.contaminated(spark.createDataFrame(list(docs.items()), "doc_id long, text string"), spark.createDataFrame(list(items.items()), "item_id long, text string"))
+    expected = set()
+    for d, i in itertools.product(docs, items):
+        x, y = _tokens(docs[d]), _tokens(items[i])
+        for first in range(-len(y) + 1, len(x)):
+            same = [x[first + j] == y[j] for j in range(len(y)) if 0 <= first + j < len(x)]
+            if any(sum(same[k : k + 13]) * 100 >= 13 * 80 for k in range(len(same) - 12)):
+                expected.add((d, i))
+    assert {(r.doc_id, r.item_id) for r in hits.collect()} == expected and expected
+
+
+def test_mixing(spark):
+    docs = table(spark, SF, "documents")
+    mix = mixing.Mix(docs, block=8)
+    rows = mix.taken().collect()
+    words = {r.doc_id: len(re.findall(r"[^\x20\x09-\x0D]+", r.text)) for r in docs.collect()}
+    assert {r.doc_id: r.size for r in rows} == words
+    assert [round(t) for t in mix.targets] == [sum(r.taken for r in rows if r.target == t and r.source_size == w) for t, w in zip(mix.targets, mix.words, strict=True)]
+    blocks = mix.mixed_blocks(docs).collect()
+    assert sum(len(r.words) for r in blocks) == sum(r.taken for r in rows) and all(len(r.words) <= 8 for r in blocks)
+    text = {r.source: [] for r in docs.select("source").distinct().collect()}
+    for r in docs.collect():
+        text[r.source] += r.text.split()
+    used = collections.defaultdict(collections.Counter)
+    for r in blocks:
+        used[mix.sources[r.source_no]].update(r.words)
+    assert all(c <= 2 * collections.Counter(text[s])[w] for s, own in used.items() for w, c in own.items())
+
+
+def test_water_filling():
+    assert mixing.water_filled([10, 100], [5.0, 2.0], 165, 2) == [20.0, 145.0]
+    assert mixing.water_filled([0, 100], [5.0, 2.0], 150, 2) == [0.0, 150.0]
+    for words, target, block in ((30, 45.0, 64), (1000, 777.4, 64), (129, 258.0, 64), (64, 1.0, 64), (65, 64.6, 64)):
+        slots, cut = mixing.slots_of(words, target, block, 1, 0)
+        n = -(-words // block)
+        taken = 0
+        for i in range(slots):
+            turn, inner = divmod(i, n)
+            b = int(mixing.Permutation(n, mixing._key(1, 0, turn))(np.array([inner]))[0])
+            taken += min(block, words - b * block) - (cut if i == slots - 1 else 0)
+        assert taken == round(target)
+
+
+def test_warc_round_trip(spark, tmp_path):
+    big = "<p>" + "é" * 200 + "\r\n\r\nWARC/1.1\r\nContent-Length: 3\r\n\r\n</p>"
+    rows = [(1, "http://a/\r\nX: y", big), (2, None, big), (3, "u", None), (4, "u", ""), (None, "u", big), (5, "u", "short"), (6, "u", "short"), (2, None, big), (7, "v", "z" * 300_000)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    warc.write_archive(pages.repartition(3), f"{tmp_path}/a")
+    warc.deduplicate(spark, f"{tmp_path}/a", f"{tmp_path}/b")
+    for path in ("a", "b"):
+        out = warc.read_headers(spark, f"{tmp_path}/{path}").collect()
+        expected = sorted((str(p), len((h or "").encode()), hashlib.sha256((h or "").encode()).hexdigest()) for p, _, h in rows)
+        assert sorted((str(r.page_id), r.payload_bytes, r.payload_digest) for r in out) == expected
+    kinds = collections.Counter((r.page_id, r.record_type, r.refers_to) for r in out)
+    assert kinds == {(1, "response", None): 1, (2, "revisit", 1): 2, (None, "revisit", 1): 1, (3, "response", None): 1, (4, "response", None): 1, (5, "response", None): 1, (6, "response", None): 1, (7, "response", None): 1}
+    assert len({r.record_id for r in out if r.page_id not in (2, None)}) == 6
+
+
+def test_personal_data():
+    field = pii.train()
+    text = "mail a.b@c.example.org or 1.2.3.4.5 and 300.1.1.1, card 4111 1111 1111 1111, 4111111111111112, call +1 (212) 555-0188. ssn 123-45-6789\ntoken = \"24be64439e3e49cf46b2d7c90f3602a3d0b907ff\"\nnothing here"
+    base, spans = pii.find(field, [text])[0]
+    assert [(k, text[s:e]) for k, s, e in base] == [("email", "a.b@c.example.org"), ("ip", "1.2.3.4"), ("card", "4111 1111 1111 1111"), ("phone", "+1 (212) 555-0188")]
+    assert {("ssn", "123-45-6789"), ("secret", "24be64439e3e49cf46b2d7c90f3602a3d0b907ff")} <= {(k, text[s:e]) for k, s, e in spans} and set(base) <= set(spans)
+    learnt = sum(field.decode([w])[0][: len(w)].tolist() == own for w, own in map(pii._marked, pii.EXAMPLES))
+    assert learnt >= 0.95 * len(pii.EXAMPLES)
+
+
+def test_patterns_as_written(spark):
+    email, ip = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+    for r in table(spark, SF01, "documents").select("text").collect():
+        found = pii.base_spans(r.text)
+        assert [(s, e) for k, s, e in found if k == "email"] == [m.span() for m in email.finditer(r.text)]
+        assert [(s, e) for k, s, e in found if k == "ip"] == [m.span() for m in ip.finditer(r.text) if all(int(p) <= 255 for p in m[0].split("."))]
+
+
+def test_toxicity_held_out(spark):
+    from neume.llm import toxicity
+
+    docs, labels = table(spark, "/root/testdata/sf0.1", "documents"), table(spark, "/root/testdata/sf0.1", "labels")
+    marks = {r.doc_id: r.toxic for r in labels.collect()}
+    out = [r for r in toxicity.toxicity(docs, toxicity.learn(docs, labels)).collect() if r.held_out and r.doc_id in marks]
+    assert all(zlib.crc32(str(r.doc_id).encode()) % 5 == 0 for r in out)
+    right = sum(r.predicted == marks[r.doc_id] for r in out) / len(out)
+    caught = [r.predicted for r in out if marks[r.doc_id]]
+    assert right >= 0.97 and sum(caught) >= 0.75 * len(caught)
+
+
+def test_language_held_out(spark):
+    from neume.llm import language
+
+    docs = table(spark, SF01, "documents")
+    truth = {r.doc_id: r.lang for r in docs.select("doc_id", "lang").collect()}
+    out = [r for r in language.label_documents(docs, language.learn(docs)).collect() if zlib.crc32(str(r.doc_id).encode()) % 4 == 2]
+    assert sum(r.lang_pred == truth[r.doc_id] for r in out) >= 0.95 * len(out) and all(0 <= r.score <= 1 for r in out)
+
+
+def test_every_sentence_has_a_cue():
+    assert all(any(c in s.lower() for c in licenses.CUES) for s in licenses.SENTENCES.values())
+    assert {n for _, names in licenses.RULES for n in names} <= set(licenses.SENTENCES)
