@@ -127,4 +127,4 @@ def encode(rows: DataFrame, length: int = 608) -> DataFrame:
 
     used = F.size("s") + 2
     mask = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(length), used)), lambda i: i <= used)
-    return one.select("doc_id", padded("rhythm", 1, 2).alias("rhythms"), *(padded(n, 0, 0).alias(n + "s") for n in ("pitch", "lift", "position")), mask.alias("mask"))
+    return one.select("doc_id", padded("rhythm", 1, 2).alias("rhythms"), *(padded(n, 0, 0).alias(out) for n, out in (("pitch", "pitches"), ("lift", "lifts"), ("position", "positions"))), mask.alias("mask"))
