@@ -91,7 +91,7 @@ def geometry_usable(documents: DataFrame, systems: DataFrame, barlines: DataFram
     per = bars.join(owned, ["doc_id", "system_index"], "left").groupBy("doc_id").agg(
         F.max(F.col("tokens").isNotNull()).alias("has_tokens"), F.min(F.when(F.col("tokens").isNotNull(), F.col("n") >= 2)).alias("owners"), F.max(F.col("n") >= 2).alias("some")
     )
-    fine = (F.col("coordinate_space") == "homr_processed_image") & (F.col("width") > 0) & (F.col("height") > 0)
+    fine = F.col("coordinate_space").endswith("processed_image") & (F.col("width") > 0) & (F.col("height") > 0)
     enough = F.when(F.col("has_tokens"), F.col("owners")).otherwise(F.col("some"))
     return documents.join(per, "doc_id", "left").select("doc_id", F.coalesce(fine & enough, F.lit(False)).alias("usable"))
 

@@ -41,7 +41,7 @@ def page_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
 def geometry_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whether the page's geometry is good enough for its tokens, as given and in a foreign coordinate space."""
     toks, systems, bars = _page(spark)
-    docs = spark.createDataFrame([("p", "homr_processed_image", 420, 360)], "doc_id string, coordinate_space string, width int, height int")
+    docs = spark.createDataFrame([("p", "page_processed_image", 420, 360)], "doc_id string, coordinate_space string, width int, height int")
     a = tokens.geometry_usable(docs, systems, bars, toks).select(F.lit("given").alias("case_name"), "usable")
     b = tokens.geometry_usable(docs.withColumn("coordinate_space", F.lit("original")), systems, bars, toks).select(F.lit("foreign").alias("case_name"), "usable")
     c = tokens.geometry_usable(docs, systems, bars.where("seq < 8"), toks).select(F.lit("few_barlines").alias("case_name"), "usable")

@@ -12,7 +12,7 @@ from neume.streaming import jobs
 
 
 def test_geometry_documents(spark, tmp_path):
-    good = {"coordinate_space": "homr_processed_image", "image": {"width": 420, "height": 220}, "systems": [{"index": 1, "bbox": [20, 70, 400, 150]}, {"index": 2, "bbox": [1, 2, 3]}], "barlines": [{"bbox": [31, 70, 33, 150], "center": [32, 110]}, {"bbox": None}]}
+    good = {"coordinate_space": "page_processed_image", "image": {"width": 420, "height": 220}, "systems": [{"index": 1, "bbox": [20, 70, 400, 150]}, {"index": 2, "bbox": [1, 2, 3]}], "barlines": [{"bbox": [31, 70, 33, 150], "center": [32, 110]}, {"bbox": None}]}
     (tmp_path / "a.json").write_text(json.dumps(good))
     (tmp_path / "b.json").write_text("{ not json")
     docs = files.geometry(spark, str(tmp_path)).cache()
