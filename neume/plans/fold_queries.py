@@ -149,6 +149,7 @@ def adaptive_noise_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (merge_close_fold, anchor_first_fold, mean_anchor_fold, shrinking_intervals, tiny_lead, split_pair_repair, connected_components, greedy_nms, greedy_union_groups, greedy_median_rows, nearest_mean_clusters, last_group_means, greedy_one_to_one, interval_colouring, grand_staff_pairs, adaptive_noise_bands)}
 
 _O = "o AS (SELECT event_id, user_id, ts::DATE::VARCHAR AS day, value AS x, row_number() OVER (PARTITION BY user_id, ts::DATE ORDER BY value, event_id) AS i FROM events)"
+_B = """b AS (SELECT p_brand AS page, p_partkey AS seq, p_type AS text, p_size * 6.0::DOUBLE AS x0, (p_retailprice * 10) % 400 AS y0, p_size * 6.0::DOUBLE + 30 AS x1, (p_retailprice * 10) % 400 + 20 AS y1, ((p_partkey * 37) % 101) / 101.0::DOUBLE AS score FROM part)"""
 ORACLE = {
     "merge_close_fold": f"""WITH RECURSIVE {_O}, f AS (
 SELECT user_id, day, i, x AS last, [x] AS done FROM o WHERE i = 1 UNION ALL
@@ -183,4 +184,27 @@ l AS (SELECT *, sum(o) OVER (PARTITION BY user_id ORDER BY r) AS line FROM (SELE
 m AS (SELECT user_id, line, min(r) AS top, max(r) AS bottom FROM l GROUP BY 1, 2),
 b AS (SELECT *, sum(o) OVER (PARTITION BY user_id ORDER BY top)::BIGINT AS band FROM (SELECT *, CASE WHEN top - lag(top) OVER (PARTITION BY user_id ORDER BY top) <= 18 THEN 0 ELSE 1 END AS o FROM m))
 SELECT user_id, band, min(top) AS top, max(bottom) AS bottom FROM b GROUP BY 1, 2 HAVING max(bottom) - min(top) >= 10""",
+    "last_group_means": f"""WITH RECURSIVE {_B}, c AS (SELECT page, (x0 + x1) / 2 AS x, row_number() OVER (PARTITION BY page ORDER BY (x0 + x1) / 2, seq) AS i FROM b),
+f AS (SELECT page, i, x AS s, 1 AS n, 1 AS g FROM c WHERE i = 1 UNION ALL
+SELECT f.page, c.i, CASE WHEN abs(f.s / f.n - c.x) <= 12 THEN f.s + c.x ELSE c.x END, CASE WHEN abs(f.s / f.n - c.x) <= 12 THEN f.n + 1 ELSE 1 END, CASE WHEN abs(f.s / f.n - c.x) <= 12 THEN f.g ELSE f.g + 1 END FROM f JOIN c ON c.page = f.page AND c.i = f.i + 1)
+SELECT page, g AS "group", count(*) AS n FROM f GROUP BY 1, 2""",
+    "greedy_nms": f"""WITH RECURSIVE {_B}, o AS (SELECT *, row_number() OVER (PARTITION BY page ORDER BY score DESC, seq) AS i FROM b),
+f AS (SELECT page, i, [{{'t': text, 'x': x0, 'y': y0}}] AS kept, seq, true AS keep FROM o WHERE i = 1 UNION ALL
+SELECT page, i, CASE WHEN hit = 0 THEN list_append(kept, me) ELSE kept END, seq, hit = 0 FROM (
+  SELECT o.page, o.i, o.seq, kept, {{'t': o.text, 'x': o.x0, 'y': o.y0}} AS me,
+    len([k for k in kept if k.t = o.text AND (greatest(30 - abs(k.x - o.x0), 0) * greatest(20 - abs(k.y - o.y0), 0) / (1200 - greatest(30 - abs(k.x - o.x0), 0) * greatest(20 - abs(k.y - o.y0), 0)) >= 0.5 OR sqrt((k.x - o.x0) ** 2 + (k.y - o.y0) ** 2) <= 10)]) AS hit
+  FROM f JOIN o ON o.page = f.page AND o.i = f.i + 1))
+SELECT page, seq FROM f WHERE keep""",
+    "interval_colouring": """WITH RECURSIVE e AS (SELECT event_id, user_id, floor(epoch(ts)) AS s, floor(epoch(ts)) + value * 600 AS t FROM events),
+o AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY s, t, event_id) AS i FROM e),
+f AS (SELECT user_id, i, event_id, [t] AS ends, 1 AS voice FROM o WHERE i = 1 UNION ALL
+SELECT user_id, i, event_id, CASE WHEN p IS NULL THEN list_append(ends, t) ELSE ends[:p - 1] || [t] || ends[p + 1:] END, coalesce(p, len(ends) + 1)::INT FROM (
+  SELECT o.user_id, o.i, o.event_id, o.t, ends, list_position([x <= o.s for x in ends], true) AS p FROM f JOIN o ON o.user_id = f.user_id AND o.i = f.i + 1))
+SELECT event_id, voice FROM f""",
+    "grand_staff_pairs": """WITH RECURSIVE p AS (SELECT p_brand, p_size::BIGINT AS i, min(p_partkey) AS k FROM part GROUP BY 1, 2),
+o AS (SELECT p_brand, i, (k * 37) % 101 AS score, row_number() OVER (PARTITION BY p_brand ORDER BY (k * 37) % 101 DESC, i) AS r FROM p),
+f AS (SELECT p_brand, r, i, score, [i, i + 1] AS used, true AS keep FROM o WHERE r = 1 UNION ALL
+SELECT o.p_brand, o.r, o.i, o.score, CASE WHEN list_contains(used, o.i) OR list_contains(used, o.i + 1) THEN used ELSE used || [o.i, o.i + 1] END, NOT (list_contains(used, o.i) OR list_contains(used, o.i + 1))
+FROM f JOIN o ON o.p_brand = f.p_brand AND o.r = f.r + 1)
+SELECT p_brand, i, score FROM f WHERE keep""",
 }
