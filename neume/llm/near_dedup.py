@@ -142,14 +142,18 @@ def _sketches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"doc_id": batch.doc_id, "n": [r[0] for r in rows], "digest": [r[1] for r in rows], "regs": [r[2] for r in rows]})
 
 
-def _bands(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def band_keys(regs: np.ndarray) -> np.ndarray:
+    """A hash per document (row) and band of the band's number and registers."""
     mult = mixed(np.arange(ROWS, dtype=np.uint64) + np.uint64(1001)) | np.uint64(1)
     salt = mixed(np.arange(BANDS, dtype=np.uint64) + np.uint64(501))
+    rows = densified(regs)[:, : BANDS * ROWS].reshape(len(regs), BANDS, ROWS).astype(np.uint64)
+    return mixed((rows * mult).sum(2, dtype=np.uint64) + salt).view(np.int64)
+
+
+def _bands(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         for part in (batch[i : i + 1000] for i in range(0, len(batch), 1000)):
-            regs = np.frombuffer(b"".join(part.regs), np.uint16).reshape(len(part), BUCKETS)
-            rows = densified(regs)[:, : BANDS * ROWS].reshape(len(part), BANDS, ROWS).astype(np.uint64)
-            key = mixed((rows * mult).sum(2, dtype=np.uint64) + salt).view(np.int64)
+            key = band_keys(np.frombuffer(b"".join(part.regs), np.uint16).reshape(len(part), BUCKETS))
             yield pd.DataFrame({"key": key.ravel(), "node": np.repeat(part.node.to_numpy(), BANDS), "n": np.repeat(part.n.to_numpy(), BANDS)})
 
 
@@ -159,8 +163,9 @@ WORDS = [f"w{i}" for i in range(16)]
 def _short(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         if len(batch):
-            words = short_sketches(np.frombuffer(b"".join(batch.regs), np.uint16).reshape(len(batch), BUCKETS))
-            yield pd.DataFrame({"node": batch.node.to_numpy()} | {w: words[:, i] for i, w in enumerate(WORDS)})
+            regs = np.frombuffer(b"".join(batch.regs), np.uint16).reshape(len(batch), BUCKETS)
+            words = short_sketches(regs)
+            yield pd.DataFrame({"node": batch.node.to_numpy(), "bands": list(band_keys(regs))} | {w: words[:, i] for i, w in enumerate(WORDS)})
 
 
 def _likely(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -248,16 +253,19 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     placed = shared.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     split = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("key")
     open_rows = placed.where("node <> pivot").join(split, "key").select("key", "node", "n", "component")
-    sketches = classes.select("node", "regs").mapInPandas(_short, "node long, " + ", ".join(f"{w} long" for w in WORDS))
+    sketches = classes.select("node", "regs").mapInPandas(_short, "node long, bands array<bigint>, " + ", ".join(f"{w} long" for w in WORDS))
     small = _sets_of(open_rows.where(F.col("n") <= SMALL_SET).select("node").distinct().join(classes.select("node", "digest"), "node"), texts)
     # 31 bits of each shingle: what they let through by chance is compared in full after
     parts = small.select("node", F.transform("members", lambda m: m.bitwiseAND(F.lit(0x7FFFFFFF)).cast("int")).alias("members"))
     open_rows = materialize(open_rows.join(sketches, "node").join(parts, "node", "left"), "open")
-    one_side = lambda x: open_rows.select("key", *(F.col(c).alias(f"{c}_{x}") for c in ("node", "n", "component", "members", *WORDS)))
+    one_side = lambda x: open_rows.select("key", *(F.col(c).alias(f"{c}_{x}") for c in ("node", "n", "component", "members", "bands", *WORDS)))
     differ = _registers_differ([F.col(f"{w}_a") for w in WORDS], [F.col(f"{w}_b") for w in WORDS])
-    common = F.size(F.array_intersect("members_a", "members_b"))
-    similar = F.col("members_a").isNull() | F.col("members_b").isNull() | (common * 100 >= (F.col("n_a") + F.col("n_b") - common) * THRESHOLD)
-    rest = one_side("a").join(one_side("b"), "key").where("node_a < node_b and component_a <> component_b").where(_sizes_allow(F.col("n_a"), F.col("n_b")) & (differ <= MOST_DIFFERENT) & similar)
+    # of the bands that two share, the first in order compares them
+    once = F.array_min(F.array_intersect("bands_a", "bands_b")) == F.col("key")
+    # the intersection is named once: named twice, it would be computed up front for every pair, before the cheap tests
+    alike = F.size(F.array_intersect("members_a", "members_b")) * (100 + THRESHOLD) >= (F.col("n_a") + F.col("n_b")) * THRESHOLD
+    similar = F.col("members_a").isNull() | F.col("members_b").isNull() | alike
+    rest = one_side("a").join(one_side("b"), "key").where("node_a < node_b and component_a <> component_b").where(_sizes_allow(F.col("n_a"), F.col("n_b")) & (differ <= MOST_DIFFERENT) & once & similar)
     rest = rest.select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
     last = _verified(rest.select("a", "b").distinct(), classes, texts)
     final = found
