@@ -62,7 +62,7 @@ def without_boilerplate(docs: DataFrame, site: str = "source", min_sites: int =
     are cleaned too.  Rows that repeat get equal results.  Lines that remain keep their bytes and order.
     """
     lines = line_table(docs.select("doc_id", "text", F.col(site)), site)
-    found = boilerplate(lines, min_sites)
+    found = materialize(boilerplate(lines, min_sites), "boilerplate")  # its size is then known: no shuffle of all lines for a short list
     hits = lines.select("row", "doc_id", "pos", "size", "total", "line").join(found, "line", "left_semi").distinct()
     by_row = hits.groupBy("row", "doc_id").agg(F.collect_list("pos").alias("hit_pos"), F.sum("size").alias("size"), F.max("total").alias("total"))
     by_row = by_row.where(F.col("size") <= most_removed * F.col("total")).select(F.col("row").alias("hit_row"), F.col("doc_id").alias("hit_id"), "hit_pos")
