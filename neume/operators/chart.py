@@ -130,8 +130,9 @@ def split_merged(text: Column) -> Column:
 
 def crop_regions(cells: DataFrame, regions: list[tuple[str, float, float, float, float]]) -> DataFrame:
     """A row per cell and region (name, and shares left, top, right, bottom of the cell), in whole pixels cut off, not rounded."""
-    table = cells.sparkSession.createDataFrame(regions, "region string, l double, t double, r double, b double")
-    both = cells.crossJoin(F.broadcast(table))  # a constant list of regions
+    names = ("region", "l", "t", "r", "b")
+    table = F.array(*(F.struct(*(F.lit(v).alias(n) for n, v in zip(names, row, strict=True))) for row in regions))
+    both = cells.withColumn("_r", F.explode(table)).select(*cells.columns, "_r.*")
     w, h = F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")
     return both.select(*cells.columns, "region", *(e.cast("int").alias(n) for n, e in (("left", F.col("x0") + w * F.col("l")), ("top", F.col("y0") + h * F.col("t")), ("right", F.col("x0") + w * F.col("r")), ("bottom", F.col("y0") + h * F.col("b")))))
 

@@ -42,13 +42,13 @@ def noise_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cells of a 20 x 20 grid of customers are noisy if crowded and next to a crowded one; nothing is dropped if over half are."""
     c = table(spark, sf_dir, "customer").select((F.col("c_custkey") % 20).alias("i"), F.floor((F.col("c_acctbal") + 1000) / 550.05).cast("int").alias("j"))
     cells = c.groupBy("i", "j").agg(F.count(F.lit(1)).alias("n"))
-    limit = cells.agg(F.avg("n").alias("limit"))
-    crowded = cells.crossJoin(F.broadcast(limit)).where("n > limit").select("i", "j")  # one row
+    everywhere = Window.partitionBy(F.lit(0))  # over at most 400 cells
+    crowded = cells.withColumn("limit", F.avg("n").over(everywhere)).where("n > limit").select("i", "j")
     near = crowded.select(F.explode(F.array(*(F.struct((F.col("i") + a).alias("i"), (F.col("j") + b).alias("j")) for a, b in ((1, 0), (-1, 0), (0, 1), (0, -1))))).alias("c")).select("c.i", "c.j").distinct()
     noisy = crowded.join(near, ["i", "j"], "left_semi")
     flagged = cells.join(noisy.withColumn("noisy", F.lit(True)), ["i", "j"], "left").withColumn("noisy", F.coalesce("noisy", F.lit(False)))
-    share = flagged.agg(F.avg(F.col("noisy").cast("int")).alias("share"))
-    return flagged.crossJoin(F.broadcast(share)).select("i", "j", "n", (~F.col("noisy") | (F.col("share") > 0.5)).alias("kept"))
+    share = F.avg(F.col("noisy").cast("int")).over(everywhere)
+    return flagged.withColumn("share", share).select("i", "j", "n", (~F.col("noisy") | (F.col("share") > 0.5)).alias("kept"))
 
 
 def filter_with_reason(spark: SparkSession, sf_dir: str) -> DataFrame:

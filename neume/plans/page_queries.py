@@ -63,7 +63,7 @@ def candidate_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def candidate_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many common chords the grammar accepts per root."""
-    d = candidates.candidate_dictionary(table(spark, sf_dir, "region"))
+    d = candidates.candidate_dictionary(spark)
     return d.groupBy("root").agg(F.count(F.lit(1)).alias("n"))
 
 
