@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from neume.functions import candidates
 from neume.functions import geometry as G
-from neume.operators import adjudication, assembly, payload, tokens
+from neume.operators import adjudication, assembly, notation, payload, tokens
 from neume.plans.tables import table, values_sql
 from neume.sources import files
 from neume.storage import fresh_path
@@ -139,10 +139,51 @@ def fallback_policy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select("s_nationkey", adjudication.fallback_reason(F.col("ok"), F.col("bad"), F.col("ok") + F.col("bad"), F.col("empty")).alias("reason"))
 
 
-QUERIES = {f.__name__: f for f in (measure_assignment, page_payload, geometry_check, token_rows, candidate_resolution, candidate_dictionary, semantic_assembly, selective_plan, candidate_adjudication, word_offsets, root_letter_boxes, upload_checks, svg_scan, status_fallback, stream_status_replay, windowed_counts, fallback_policy)}
+def polygon_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Corner-in-polygon overlap; the plus sign has no corner inside."""
+    poly = lambda *pts: [(float(x), float(y)) for x, y in pts]
+    square = poly((0, 0), (10, 0), (10, 10), (0, 10))
+    rows = [("corner", square, poly((5, 5), (15, 5), (15, 15), (5, 15))), ("apart", square, poly((20, 20), (30, 20), (25, 30))), ("plus", poly((0, 4), (10, 4), (10, 6), (0, 6)), poly((4, 0), (6, 0), (6, 10), (4, 10))), ("within", square, poly((2, 2), (3, 2), (3, 3)))]
+    df = spark.createDataFrame(rows, "name string, a array<struct<x:double,y:double>>, b array<struct<x:double,y:double>>")
+    return df.select("name", notation.polygons_overlap(F.col("a"), F.col("b")).alias("overlap"))
+
+
+def _boxed(spark: SparkSession, rows: list[tuple], name: str = "seq int") -> DataFrame:
+    return spark.createDataFrame([("p", i, b) for i, b in rows], f"doc_id string, {name}, {BOX}")
+
+
+def stems_of_heads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    heads = _boxed(spark, [(1, (10.0, 50.0, 20.0, 60.0)), (2, (50.0, 50.0, 60.0, 60.0)), (3, (90.0, 50.0, 99.0, 60.0))])
+    stems = _boxed(spark, [(1, (19.0, 20.0, 21.0, 56.0)), (2, (49.0, 54.0, 51.0, 90.0)), (3, (18.0, 54.0, 19.5, 90.0))])
+    return notation.heads_with_stems(heads, stems).drop("doc_id")
+
+
+def heads_of_staffs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Note heads on the nearest staff, with their half-unit positions."""
+    points = spark.createDataFrame([("p", s, x, [y0 + 10.0 * i for i in range(5)]) for s, y0 in ((1, 100.0), (2, 300.0)) for x in range(0, 200, 10)], "doc_id string, staff_id int, x int, ys array<double>")
+    heads = _boxed(spark, [(1, (48.0, 115.0, 58.0, 125.0)), (2, (48.0, 131.0, 58.0, 140.0)), (3, (100.0, 320.0, 110.0, 330.0)), (4, (400.0, 320.0, 410.0, 330.0)), (5, (100.0, 200.0, 110.0, 210.0))])
+    return notation.heads_on_staffs(heads, points).drop("doc_id")
+
+
+def braced_staffs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    staffs = _boxed(spark, [(1, (20.0, 100.0, 400.0, 140.0)), (2, (20.0, 200.0, 400.0, 240.0)), (3, (20.0, 300.0, 400.0, 340.0))], "staff_id int")
+    return notation.connected_staffs(staffs, _boxed(spark, [(1, (10.0, 98.0, 18.0, 242.0)), (2, (10.0, 230.0, 18.0, 290.0))])).drop("doc_id")
+
+
+def circled_letters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    toks = spark.createDataFrame([("p", 1, "A", (10.0, 10.0, 20.0, 20.0)), ("p", 2, "B", (50.0, 10.0, 60.0, 20.0)), ("p", 3, "C7", (90.0, 10.0, 100.0, 20.0))], f"doc_id string, seq int, text_norm string, {BOX}")
+    return notation.circled_marks(toks, _boxed(spark, [(1, (5.0, 5.0, 25.0, 25.0)), (2, (20.0, 0.0, 90.0, 30.0)), (3, (85.0, 5.0, 105.0, 25.0))])).drop("doc_id")
+
+
+QUERIES = {f.__name__: f for f in (polygon_overlaps, stems_of_heads, heads_of_staffs, braced_staffs, circled_letters, measure_assignment, page_payload, geometry_check, token_rows, candidate_resolution, candidate_dictionary, semantic_assembly, selective_plan, candidate_adjudication, word_offsets, root_letter_boxes, upload_checks, svg_scan, status_fallback, stream_status_replay, windowed_counts, fallback_policy)}
 
 _ASSIGNED = [(1, 1, 1, 32.0, 132.0, 2), (2, 1, 2, 132.0, 232.0, 2), (3, 1, 3, 232.0, 332.0, 3), (4, 1, 1, 32.0, 132.0, 4), (5, 2, 4, 20.0, 132.0, 2), (6, 2, 6, 232.0, 332.0, 4)]
 ORACLE = {
+    "polygon_overlaps": values_sql(["name", "overlap"], [("corner", True), ("apart", False), ("plus", False), ("within", True)]),
+    "stems_of_heads": values_sql(["seq", "stem", "direction"], [(1, 1, "up"), (2, 2, "down"), (3, None, None)]),
+    "heads_of_staffs": values_sql(["seq", "staff_id", '"position"'], [(1, 1, 4), (2, 1, 7), (3, 2, 5)]),
+    "braced_staffs": values_sql(["upper", "lower"], [(1, 2)]),
+    "circled_letters": values_sql(["seq"], [(1,)]),
     "measure_assignment": values_sql(["seq", "system_index", "measure_index", '"left"', '"right"', "beat"], [(s, y, m, lo if m != 3 else 232.5, hi if m != 2 else 232.5, b) for s, y, m, lo, hi, b in _ASSIGNED]),
     "page_payload": values_sql(["system_index", "measure_index", '"position"', "text_norm", "beat"], [(1, 1, 0, "Dm7", 2), (1, 1, 1, "A7", 4), (1, 2, 0, "G7", 2), (1, 3, 0, "Cmaj7", 3), (2, 4, 0, "F6", 2), (2, 6, 0, "E7", 4)]),
     "geometry_check": values_sql(["case_name", "usable"], [("given", True), ("foreign", False), ("few_barlines", False)]),
