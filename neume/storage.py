@@ -6,24 +6,48 @@ test session) a temporary folder of this machine is made and set.
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Paths handed out in this session that no one has removed; tidied up when the driver ends.
+_LEFT: set[str] = set()
+
+
+@atexit.register
+def _tidy() -> None:
+    """Remove this session's tables: through Spark while it runs, else those on this machine."""
+    from pyspark import SparkContext
+
+    for path in sorted(_LEFT):
+        try:
+            if SparkContext._active_spark_context is not None:
+                remove(SparkSession.active(), path)
+            elif path.startswith(("/", "file:/")):
+                shutil.rmtree("/" + path.removeprefix("file:").lstrip("/"), ignore_errors=True)
+        except Exception:  # noqa: BLE001  the session is ending; what can't be removed stays
+            return
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The checkpoint folder of the session; set to a fresh local one where the session has none."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     found = found or spark.sparkContext.getCheckpointDir()
     if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="neume-checkpoint-")
+        folder = tempfile.mkdtemp(prefix="neume-checkpoint-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        found = f"file://{folder}"
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
 
 
 def fresh_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/neume-{label}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/neume-{label}-{uuid.uuid4().hex}"
+    _LEFT.add(path)
+    return path
 
 
 def materialize(df: DataFrame, label: str = "table") -> DataFrame:
@@ -50,3 +74,4 @@ def remove(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+    _LEFT.discard(path)
