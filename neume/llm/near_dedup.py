@@ -214,6 +214,13 @@ def _sets_of(nodes: DataFrame, texts: DataFrame) -> DataFrame:
     return sets
 
 
+def _parents(links: DataFrame) -> DataFrame:
+    """(node, component) two steps up links that tie each node to one smaller node: equal ones are surely connected,
+    which is enough to leave pairs out."""
+    up = links.select(F.col("a").alias("top"), F.col("b").alias("a"))
+    return links.join(up, "a", "left").select(F.col("b").alias("node"), F.coalesce("top", "a").alias("component"))
+
+
 def _apart(pairs: DataFrame, components: DataFrame) -> DataFrame:
     """The pairs whose nodes lie in different components (a node that isn't listed is its own)."""
     side = lambda x: components.select(F.col("node").alias(x), F.col("component").alias(f"c_{x}"))
@@ -244,10 +251,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     pivots = materialize(pivots.select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct(), "pivots")
     nearest = pivots.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
     links = _verified(nearest, classes, texts)
-    found = materialize(connected_components(links), "components")
-    apart = _apart(pivots.join(nearest, ["a", "b"], "left_anti"), found)
+    apart = _apart(pivots.join(nearest, ["a", "b"], "left_anti"), _parents(links))
     more = _verified(apart.select("a", "b"), classes, texts)
-    drop(found)
     found = materialize(connected_components(links.unionByName(more)), "components")
 
     placed = shared.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
