@@ -145,7 +145,8 @@ class Mix:
         self.targets = water_filled(self.words, shares, budget * sum(self.words), most)
         fills = [slots_of(w, t, block, seed, i) for i, (w, t) in enumerate(zip(self.words, self.targets, strict=True))]
         self.slots, self.cuts = [f[0] for f in fills], [f[1] for f in fills]
-        self.shards = min(SHARDS, max(1, -(-sum(self.slots) // SHARD_SLOTS)))
+        # fewer, larger shards where there are very many sources: the matrix of draws stays under a million cells
+        self.shards = max(1, min(SHARDS, -(-sum(self.slots) // SHARD_SLOTS), 1_000_000 // max(1, len(found))))
         self.placed = materialize(_placed(self.sized, seed), "placed")
 
     def source_table(self) -> DataFrame:
