@@ -17,6 +17,8 @@ def values_sql(columns: list[str], rows: list[tuple]) -> str:
             return "NULL"
         if isinstance(v, bool):
             return "true" if v else "false"
+        if isinstance(v, float):
+            return f"{v!r}::DOUBLE"
         return "'" + v.replace("'", "''") + "'" if isinstance(v, str) else repr(v)
 
     body = ", ".join("(" + ", ".join(map(one, r)) + ")" for r in rows)
