@@ -4,9 +4,10 @@ A line counts by its normal form: white space squeezed to single blanks, trimmed
 each line hash the sites it stands on are gathered in HyperLogLog sketches, which are partly merged
 before the shuffle, so that a line on a third of all pages costs one sketch a task.  Lines whose
 estimate is clear of the threshold by three standard errors are decided by it; the few near it get an
-exact count of distinct sites.  Lines on ``min_sites`` sites or more are taken out of every document,
-except from documents they make up more than half of (in characters): those are copies, not pages with boilerplate, and
-go to near-duplicate removal whole.
+exact count of distinct sites.  Lines on ``min_sites`` sites or more are taken out of every document
+that has a visible line of its own, whatever their share; a document of nothing but such lines stays whole.
+The query ``op1_line_dedup`` alone also leaves documents whole that these lines make up more than half of
+(in characters), since its SQL says so.
 
 All of it is DataFrame expressions.
 """
@@ -23,7 +24,7 @@ MIN_SITES = 10
 #: 2^10 sketch registers: a standard error of 1.04 / 32.
 LOG_REGISTERS = 10
 BAND = 3 * 1.04 / 2 ** (LOG_REGISTERS / 2)
-#: A document that boilerplate makes up more than this share of (in characters) stays whole.
+#: What the SQL of op1_line_dedup says: a document that boilerplate makes up more than this share of (in characters) stays whole.
 MOST_REMOVED = 0.5
 
 
@@ -55,21 +56,28 @@ def boilerplate(lines: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
     return guess.where(F.col("guess") > min_sites * (1 + BAND)).select("line").unionByName(exact.select("line"))
 
 
-def without_boilerplate(docs: DataFrame, site: str = "source", min_sites: int = MIN_SITES, most_removed: float = MOST_REMOVED) -> DataFrame:
+def without_boilerplate(docs: DataFrame, site: str = "source", min_sites: int = MIN_SITES, most_removed: float | None = None) -> DataFrame:
     """``docs`` with ``text`` cleaned, ``n_chars`` (if there) renewed, and ``lines_removed`` added.
 
     Null texts stay null, empty ones empty; a null site counts for no line's spread, but its documents
     are cleaned too.  Rows that repeat get equal results.  Lines that remain keep their bytes and order.
+    Documents without a visible line of their own stay whole; with ``most_removed``, those stay whole
+    instead of whose characters more than that share would go.
     """
     lines = line_table(docs.select("doc_id", "text", F.col(site)), site)
     found = materialize(boilerplate(lines, min_sites), "boilerplate")  # its size is then known: no shuffle of all lines for a short list
     hits = lines.select("row", "doc_id", "pos", "size", "total", "line").join(found, "line", "left_semi").distinct()
     by_row = hits.groupBy("row", "doc_id").agg(F.collect_list("pos").alias("hit_pos"), F.sum("size").alias("size"), F.max("total").alias("total"))
-    by_row = by_row.where(F.col("size") <= most_removed * F.col("total")).select(F.col("row").alias("hit_row"), F.col("doc_id").alias("hit_id"), "hit_pos")
+    if most_removed is not None:
+        by_row = by_row.where(F.col("size") <= most_removed * F.col("total"))
+    by_row = by_row.select(F.col("row").alias("hit_row"), F.col("doc_id").alias("hit_id"), "hit_pos")
     same = (F.xxhash64(docs["doc_id"], docs["text"]) == by_row.hit_row) & docs["doc_id"].eqNullSafe(by_row.hit_id)
     joined = docs.join(by_row, same, "left")
-    take, parts = by_row["hit_pos"].isNotNull(), F.split(docs["text"], "\n")
+    parts = F.split(docs["text"], "\n")
     rest = F.transform(F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), by_row["hit_pos"]), lambda i: F.get(parts, i))
+    take = by_row["hit_pos"].isNotNull()
+    if most_removed is None:
+        take = take & F.exists(rest, lambda x: x.rlike(r"[^\s\u00a0]"))
     text = F.when(take, F.array_join(rest, "\n")).otherwise(docs["text"])
     out = []
     for c in docs.columns:
@@ -84,7 +92,7 @@ def without_boilerplate(docs: DataFrame, site: str = "source", min_sites: int =
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    return without_boilerplate(docs).select("doc_id", "text", "lines_removed")
+    return without_boilerplate(docs, most_removed=MOST_REMOVED).select("doc_id", "text", "lines_removed")
 
 
 QUERIES = {"op1_line_dedup": op1_line_dedup}

@@ -44,6 +44,16 @@ def test_line_dedup_leaves_copies_whole(spark):
     assert line_dedup.without_boilerplate(df).where("lines_removed > 0").count() == 0
 
 
+def test_line_dedup_cleans_short_pages(spark):
+    """Shared lines of most of the characters go too where a page has a line of its own, here and in the pipeline."""
+    shared = " ".join(["every word of this passage stands on many sites"] * 7)
+    rows = [(i, f"own words {i}\n{shared}\n ", f"s{i}") for i in range(12)] + [(20, f"{shared}\n \u00a0\t", "s1")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = {r.doc_id: (r.text, r.lines_removed) for r in line_dedup.without_boilerplate(df).collect()}
+    assert got == {i: (f"own words {i}\n ", 1) for i in range(12)} | {20: (rows[-1][1], 0)}
+    assert {r.doc_id: r.text for r in corpus_pipeline.line_dedup(spark, df, "").collect()} == {i: t for i, (t, _) in got.items()}
+
+
 def test_toxicity(spark, odd_docs, no_docs):
     model = toxicity.learn(odd_docs, _labels(spark))
     out = toxicity.toxicity(odd_docs, model).collect()
