@@ -1,9 +1,11 @@
 """Licence recognition by sentence identifiers and ordered rules.
 
-A text is read twice: as lines, and as sentences with line ends taken for blanks (licence texts are
+A text is read three times: as lines, and as sentences with line ends taken for blanks (licence texts are
 wrapped).  Each unit's normal form (lower case, runs of anything but letters and digits as one blank) is
-looked up among the known licence sentences, which leaves a sequence of identifiers per reading.  A rule
-holds where its identifiers follow one another in one reading, others allowed between; a rule whose
+looked up among the known licence sentences, which leaves a sequence of identifiers per reading.  Known
+sentences may hold ends of units themselves ("v. 2.0", "free software: you can"), and follow a line without a
+full stop (a copyright line); so a third reading takes any run of words that is a known sentence, from the
+start of a line or sentence to the end of one, whatever line and sentence ends lie inside.  A rule holds where its identifiers follow one another in one reading, others allowed between; a rule whose
 sequence is part of a longer rule that holds is dropped.
 
 All of it is row-local DataFrame expressions: nothing is shuffled or broadcast but the plan.
@@ -43,6 +45,19 @@ def _identifiers(units: Column) -> Column:
     return F.concat(F.lit(" "), F.array_join(F.transform(known, lambda u: F.element_at(names, u)), " "), F.lit(" "))
 
 
+#: Known forms with either a blank or an end of a line or sentence between words, the longest first.
+_SPANNING = r"\|(" + "|".join(form.replace(" ", "[ |]") for form in sorted(KNOWN, key=len, reverse=True)) + r")(?=\|)"
+
+
+def _spanning_identifiers(text: Column) -> Column:
+    """As ``_identifiers``, of the known sentences across line and sentence ends."""
+    marked = F.regexp_replace(F.lower(text), r"\s*\n\s*|(?<=[.;:!?])\s+", "\x01")
+    plain = F.regexp_replace(F.regexp_replace(marked, "[^a-z0-9\x01]+", " "), " ?\x01[ \x01]*", "|")
+    known = F.regexp_extract_all(F.concat(F.lit("|"), F.trim(plain), F.lit("|")), F.lit(_SPANNING), F.lit(1))
+    names = F.create_map(*(F.lit(x) for pair in KNOWN.items() for x in pair))
+    return F.concat(F.lit(" "), F.array_join(F.transform(known, lambda u: F.element_at(names, F.translate(u, "|", " "))), " "), F.lit(" "))
+
+
 def rule_pattern(names: list[str]) -> str:
     return " " + "( .*)? ".join(names) + " "
 
@@ -56,17 +71,20 @@ def scan(docs: DataFrame) -> DataFrame:
     """``docs`` (doc_id, text) -> doc_id, licenses, sentences: one row per row.
 
     ``licenses``: the licences whose rules hold, sorted, comma-joined; ``sentences``: the identifiers of
-    the reading by lines and of that by sentences, joined by ``|``.  Null and empty texts and texts without
+    the reading by lines and of that by sentences, joined by ``|``; in place of the latter stand those of the
+    third reading, which holds all of both, if it has a sentence that they lack.  Null and empty texts and texts without
     licence sentences give empty strings.  Rows that repeat give equal rows.  Other columns aren't read.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     cue = F.lower(text).rlike("|".join(CUES))
     lines, sentences = _units(text)
-    read = docs.select("doc_id", F.when(cue, _identifiers(lines)).otherwise("  ").alias("a"), F.when(cue, _identifiers(sentences)).otherwise("  ").alias("b"))
+    read = docs.select("doc_id", F.when(cue, _identifiers(lines)).otherwise("  ").alias("a"), F.when(cue, _identifiers(sentences)).otherwise("  ").alias("b"), F.when(cue, _spanning_identifiers(text)).otherwise("  ").alias("c"))
+    more = F.size(F.array_except(F.split(F.trim("c"), " "), F.split(F.concat("a", "b"), " +"))) > 0
+    read = read.withColumn("b", F.when(more, F.col("c")).otherwise(F.col("b")))
     read = read.withColumn("any", (F.trim("a") != "") | (F.trim("b") != ""))
     # matched against blanks doubled, so that neighbouring identifiers each have their own
-    doubled = [F.regexp_replace(c, " ", "  ") for c in ("a", "b")]
-    holds = [F.col("any") & (doubled[0].rlike(rule_pattern(names)) | doubled[1].rlike(rule_pattern(names))) for _, names in RULES]
+    doubled = [F.regexp_replace(c, " ", "  ") for c in ("a", "b", "c")]
+    holds = [F.col("any") & reduce(or_, (x.rlike(rule_pattern(names)) for x in doubled)) for _, names in RULES]
     final = []
     for i, (licence, names) in enumerate(RULES):
         longer = [holds[j] for j, (_, other) in enumerate(RULES) if _within(names, other)]

@@ -72,6 +72,46 @@ def test_licenses(odd_docs, no_docs):
     assert licenses.scan(no_docs).count() == 0
 
 
+GPL3 = """    frob - does things
+    Copyright (C) 2020  A. Name
+
+    This program is free software: you can redistribute it and/or modify
+    it under the terms of the GNU General Public License as published by
+    the Free Software Foundation, either version 3 of the License, or
+    (at your option) any later version.
+
+    This program is distributed in the hope that it will be useful,
+    but WITHOUT ANY WARRANTY; without even the implied warranty of
+    MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+    GNU General Public License for more details.
+
+    You should have received a copy of the GNU General Public License
+    along with this program.  If not, see <https://www.gnu.org/licenses/>."""
+MPL = """/* This Source Code Form is subject to the terms of the Mozilla Public
+ * License, v. 2.0. If a copy of the MPL was not distributed with this
+ * file, You can obtain one at https://mozilla.org/MPL/2.0/. */"""
+ZLIB = """Copyright (c) 2020 A. Name
+
+This software is provided 'as-is', without any express or implied
+warranty. In no event will the authors be held liable for any damages
+arising from the use of this software.
+
+1. The origin of this software must not be misrepresented; you must not
+   claim that you wrote the original software. If you use this software
+   in a product, an acknowledgment would be appreciated."""
+
+
+def test_wrapped_notices(spark):
+    notices = {"GPL-3.0-or-later": GPL3, "MPL-2.0": MPL, "Zlib": ZLIB}
+    notices["GPL-2.0-or-later"] = GPL3.replace("software:", "software;").replace("Foundation,", "Foundation;").replace("version 3", "version 2")
+    notices["AGPL-3.0-or-later"] = GPL3.replace("GNU General", "GNU Affero General")
+    notices["LGPL-2.1-or-later"] = notices["GPL-2.0-or-later"].replace("GNU General", "GNU Lesser General").replace("program", "library").replace("version 2", "version 2.1")
+    rows = [(name, form(t)) for name, t in notices.items() for form in (str, lambda x: " ".join(x.split()).replace("A. Name ", "A. Name. "), lambda x: x.replace("\n", "\r\n# "))]
+    out = licenses.scan(spark.createDataFrame(rows, "doc_id string, text string")).collect()
+    assert [(r.doc_id, r.licenses) for r in out] == [(name, name) for name, _ in rows]
+    assert all("gpl-free gpl-hope gpl-received" in r.sentences for r in out if r.doc_id == "GPL-3.0-or-later")
+
+
 def test_decontamination(spark, odd_docs, no_docs):
     items = _items(spark, odd_docs)
     hits = decontam.contaminated(odd_docs, items).collect()
