@@ -16,8 +16,8 @@ null and empty texts have the empty set).  Documents are linked if 100 * |A & B|
    collision-corrected Jaccard estimate (0.12, 4.4 deviations, below the threshold); then both full
    sets are compared.
 4. Linked classes form components.  Groups whose members still lie in several components are gone
-   over: every two members of unequal components are compared by short sketches (four bits a register) and,
-   if small, by their sets within the join; what may be similar is checked in the same way, so no link that
+   over: every two members of unequal components are compared within the join, small ones by their sets and
+   others by short sketches (four bits a register); what may be similar is checked in the same way, so no link that
    a band shows is lost because the pivot didn't show it.
 """
 
@@ -41,6 +41,8 @@ BUCKETS = 1 << BUCKET_BITS
 ROWS, BANDS = 5, 51
 THRESHOLD = 75  # per cent
 MARGIN = 0.12
+#: Pairs of sets up to this size aren't estimated: shingles that fall into one bucket count for too much of so few.
+FEW = 64
 #: Registers (as four hashed bits) that may differ: 60 of 256 do at the threshold, give or take 6.6; 4.5 deviations off.
 MOST_DIFFERENT = 90
 #: Sets up to this size are compared in full where pairs are found; larger ones by registers there, and in full after.
@@ -51,6 +53,8 @@ BROADCAST_IDS = 2_000_000
 _ODD = mixed(np.arange(1, SHINGLE + 1, dtype=np.uint64)) | np.uint64(1)
 #: The buckets that an empty bucket looks at, in turn.
 _BORROW = (mixed(np.arange(BUCKETS * 64, dtype=np.uint64) + np.uint64(77)) % np.uint64(BUCKETS)).astype(np.int64).reshape(BUCKETS, 64)
+#: The order in which it takes one if all of those are empty too.
+_RANK = mixed(np.arange(BUCKETS * BUCKETS, dtype=np.uint64) + np.uint64(1 << 20)).reshape(BUCKETS, BUCKETS)
 
 
 def shingle_set(text: str | None, hashes: WordHashes) -> np.ndarray:
@@ -92,10 +96,10 @@ def densified(regs: np.ndarray) -> np.ndarray:
         out[row, col] = got
         left = got == 0
         row, col = row[left], col[left]
-    for r in np.unique(row):  # very few full buckets: walk on from the empty one
+    for r in np.unique(row):  # very few full buckets: the one that ranks first with the empty one
         full = np.flatnonzero(regs[r])
         empty = col[row == r]
-        out[r, empty] = regs[r, full[np.searchsorted(full, empty) % len(full)]]
+        out[r, empty] = regs[r, full[_RANK[np.ix_(empty, full)].argmin(1)]]
     return out
 
 
@@ -172,7 +176,8 @@ def _likely(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         if len(batch):
             x, y = (np.frombuffer(b"".join(batch[c]), np.uint16).reshape(len(batch), BUCKETS) for c in ("regs_a", "regs_b"))
-            keep = estimated_jaccard(x, y, batch.n_a.to_numpy(float), batch.n_b.to_numpy(float)) >= THRESHOLD / 100 - MARGIN
+            n, m = batch.n_a.to_numpy(float), batch.n_b.to_numpy(float)
+            keep = (np.maximum(n, m) <= FEW) | (estimated_jaccard(x, y, n, m) >= THRESHOLD / 100 - MARGIN)
             yield batch.loc[keep, ["a", "b"]]
 
 
@@ -269,8 +274,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     once = F.array_min(F.array_intersect("bands_a", "bands_b")) == F.col("key")
     # the intersection is named once: named twice, it would be computed up front for every pair, before the cheap tests
     alike = F.size(F.array_intersect("members_a", "members_b")) * (100 + THRESHOLD) >= (F.col("n_a") + F.col("n_b")) * THRESHOLD
-    similar = F.col("members_a").isNull() | F.col("members_b").isNull() | alike
-    rest = one_side("a").join(one_side("b"), "key").where("node_a < node_b and component_a <> component_b").where(_sizes_allow(F.col("n_a"), F.col("n_b")) & (differ <= MOST_DIFFERENT) & once & similar)
+    # registers decide only where a set isn't at hand
+    similar = F.when(F.col("members_a").isNull() | F.col("members_b").isNull(), differ <= MOST_DIFFERENT).otherwise(alike)
+    rest = one_side("a").join(one_side("b"), "key").where("node_a < node_b and component_a <> component_b").where(_sizes_allow(F.col("n_a"), F.col("n_b")) & once & similar)
     rest = rest.select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
     last = _verified(rest.select("a", "b").distinct(), classes, texts)
     final = found

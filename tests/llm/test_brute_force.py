@@ -86,6 +86,24 @@ def test_sketches_estimate():
         assert abs(est - k / (2 * n - k)) < 0.12
 
 
+def test_small_sets_differ_in_few_registers():
+    """Of 3 shingles in common of 4 about a quarter of the registers differ, however few buckets are full."""
+    rng = np.random.default_rng(3)
+    regs = []
+    for _ in range(2000):
+        s = rng.integers(0, 2**64, 4, dtype=np.uint64)
+        regs += [near_dedup.registers(np.sort(s[:3])), near_dedup.registers(np.sort(s))]
+    full = near_dedup.densified(np.array(regs))
+    differ = (full[::2] != full[1::2]).sum(1)
+    assert full.all() and (differ > near_dedup.MOST_DIFFERENT + 6).mean() < 0.002
+
+
+def test_near_dedup_decides_small_sets_by_sets(spark, monkeypatch):
+    """Registers have no say in pairs of small sets, not even if they let nothing through."""
+    monkeypatch.setattr(near_dedup, "MOST_DIFFERENT", -1)
+    test_near_dedup_near_the_threshold(spark)
+
+
 def _tokens(text):
     return re.findall(r"[^\W_]+", (text or "").lower())
 
