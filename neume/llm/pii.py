@@ -1,8 +1,8 @@
 """Personal data: exact patterns, and a linear-chain conditional random field over word shapes.
 
 Emails, ip addresses, card and phone numbers are found by pattern (``base_spans``), and stay.  The field
-is trained from the labelled table in ``pii_examples`` and labels every line's words, decoded by Viterbi in
-batches; its spans are added where they don't touch a span that is there already (phone numbers in national
+is trained from the labelled table in ``pii_examples`` and labels every line's words, whole lines of any
+length decoded by Viterbi in batches; its spans are added where they don't touch a span that is there already (phone numbers in national
 form, social security numbers, secrets, names after a title).
 
 A word's features are its shape (letters, digits and signs by kind, runs squeezed), its length, and
@@ -31,7 +31,7 @@ from neume.llm.pii_examples import EXAMPLES
 BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "name", "secret", "ssn")
 LABELS = ["outside", *(f"{edge}-{k}" for k in KINDS for edge in ("first", "next"))]
-CHAIN = 256  # words of a chain; longer lines go on in another
+CELLS = 512 * 256  # words of a batch of chains, padding included; a longer line is a batch of its own
 PASSES = 60
 
 _EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -190,16 +190,13 @@ def find(field: Field, texts: list[str | None]) -> list[tuple[list[tuple[str, in
         for line in (text or "").split("\n"):
             if _CUE.search(line):
                 found = [(m[0], at + m.start()) for m in _WORD.finditer(line)]
-                for low in range(0, len(found), CHAIN):
-                    part = found[low : low + CHAIN]
+                if found:
                     lines.append(i)
-                    words.append([w for w, _ in part])
-                    offsets.append([o for _, o in part])
+                    words.append([w for w, _ in found])
+                    offsets.append([o for _, o in found])
             at += len(line) + 1
     extra: list[list[tuple[str, int, int]]] = [[] for _ in texts]
-    order = sorted(range(len(words)), key=lambda r: len(words[r]))
-    for low in range(0, len(order), 512):
-        own = order[low : low + 512]
+    for own in _batched([len(w) for w in words]):
         for r, labels in zip(own, field.decode([words[r] for r in own]), strict=True):
             if labels.any():
                 extra[lines[r]] += _spans(texts[lines[r]], words[r], offsets[r], labels[: len(words[r])])
@@ -213,6 +210,18 @@ def find(field: Field, texts: list[str | None]) -> list[tuple[list[tuple[str, in
     return out
 
 
+def _batched(lengths: list[int]) -> Iterator[list[int]]:
+    """Places of ``lengths`` in batches of like length: 512 at most, of ``CELLS`` words when padded."""
+    own: list[int] = []
+    for r in sorted(range(len(lengths)), key=lengths.__getitem__):
+        if own and (len(own) == 512 or (len(own) + 1) * lengths[r] > CELLS):
+            yield own
+            own = []
+        own.append(r)
+    if own:
+        yield own
+
+
 def _spans(text: str, words: list[str], offsets: list[int], labels: np.ndarray) -> list[tuple[str, int, int]]:
     out, at = [], 0
     while at < len(labels):

@@ -189,6 +189,17 @@ def test_personal_data():
     assert learnt >= 0.95 * len(pii.EXAMPLES)
 
 
+def test_personal_data_in_long_lines():
+    """A span is found wherever in a long line it lies."""
+    field = pii.train()
+    parts = ["ask Dr. Alvarez about it", "my ssn is 123-45-6789 today", "call me at (743) 555-3824 after nine"]
+    for part in parts:
+        alone = [(k, part[s:e]) for k, s, e in pii.find(field, [part])[0][1]]
+        assert len(alone) == 1
+        texts = [" ".join(["word"] * n + [part] + ["word"] * 300) for n in range(248, 260)]
+        assert all([(k, t[s:e]) for k, s, e in found] == alone for t, (_, found) in zip(texts, pii.find(field, texts), strict=True))
+
+
 def test_patterns_as_written(spark):
     email, ip = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
     for r in table(spark, SF01, "documents").select("text").collect():
