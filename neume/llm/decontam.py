@@ -9,8 +9,10 @@ round every hit the item is laid beside the document: an overlap counts if some
 compared by place, so substitutions are tolerated and shifts show as another diagonal.
 
 The test set is the stated query set: its seeds are broadcast in blocks of at most ``BLOCK_SEEDS``
-rows, and the whole corpus is streamed past each block without a shuffle of its seeds.  Items with
-fewer tokens than the shortest mask spans are matched by their whole token sequence instead.
+rows, and the whole corpus is streamed past each block without a shuffle of its seeds.  An item of 9 to 12
+tokens must agree over its whole length, in as many per cent, anywhere in a document: it is cut into one
+part more than places may differ, one of which is then whole, and the parts are its seeds.  An item of up to
+8 tokens must stand in the document as it is.
 
 All of it is DataFrame expressions.
 """
@@ -28,6 +30,8 @@ from neume.storage import materialize
 #: Fixed masks: six sampled places each, over nine to twelve tokens.
 MASKS = ("110100111", "1101000100101", "101100010011")
 WINDOW, AGREE = 13, 80
+#: Items with fewer tokens must be found unchanged.
+TOLERANT = 9
 BLOCK_SEEDS = 1_000_000
 
 
@@ -38,23 +42,35 @@ def tokens(text: Column) -> Column:
     return F.when(clean == "", F.array().cast("array<bigint>")).otherwise(hashed)
 
 
-def _seeds(h: str, at: str) -> Column:
-    """The seeds of all masks at a place; null where the mask runs over the end."""
+def _run(h: str, at: Column, length: int) -> Column:
+    """The seed of ``length`` tokens on end; null where they run over the end."""
+    return F.when(at + length <= F.size(h), F.xxhash64(F.lit(-length), *(F.get(h, at + i) for i in range(length))))
+
+
+def _seeds(h: str, at: str, runs: list[int]) -> Column:
+    """The seeds of all masks and of runs of the given lengths at a place; null where one runs over the end."""
 
     def one(k: int, mask: str) -> Column:
         places = [F.get(h, F.col(at) + i) for i, bit in enumerate(mask) if bit == "1"]
         return F.when(F.col(at) + len(mask) <= F.size(h), F.xxhash64(F.lit(k), *places))
 
-    return F.array(*(one(k, m) for k, m in enumerate(MASKS)))
+    return F.array(*(one(k, m) for k, m in enumerate(MASKS)), *(_run(h, F.col(at), n) for n in runs))
+
 
+def _parts(n: int) -> list[tuple[int, int]]:
+    """(from, upto) of the parts of an item of ``n`` < WINDOW tokens, one of which every accepted overlap has whole."""
+    parts = 1 + (n * (100 - AGREE) // 100 if n >= TOLERANT else 0)
+    cuts = [n * i // parts for i in range(parts + 1)]
+    return list(zip(cuts, cuts[1:], strict=False))
 
-def _seeded(rows: DataFrame, h: str) -> DataFrame:
-    """A row for every place and mask: ``at``, ``seed`` beside the columns of ``rows``."""
-    span = min(map(len, MASKS))
+
+def _seeded(rows: DataFrame, h: str, runs: list[int]) -> DataFrame:
+    """A row for every place and mask or run: ``at``, ``seed`` beside the columns of ``rows``."""
+    span = min([*map(len, MASKS), *runs])
     places = F.when(F.size(h) >= span, F.sequence(F.lit(0), F.size(h) - span))
     # outer generators: for inner ones the planner filters on the array first, and so hashes every text twice
     placed = rows.withColumn("at", F.explode_outer(places)).where("at is not null")
-    return placed.withColumn("seed", F.explode_outer(_seeds(h, "at"))).where("seed is not null")
+    return placed.withColumn("seed", F.explode_outer(_seeds(h, "at", runs))).where("seed is not null")
 
 
 def _best_stretch(equal: Column, length: Column) -> Column:
@@ -74,7 +90,14 @@ def contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
     """
     item = items.select("item_id", tokens(F.col("text").cast("string")).alias("ih")).where(F.size("ih") > 0).distinct()
     item = materialize(item.withColumn("item", F.xxhash64("item_id", "ih")), "items")
-    seeds = materialize(_seeded(item.where(F.size("ih") >= WINDOW), "ih").select("item", F.col("at").alias("item_at"), "seed"), "seeds")
+    seeds = _seeded(item.where(F.size("ih") >= WINDOW), "ih", []).select("item", F.col("at").alias("item_at"), "seed")
+    short = sorted(r[0] for r in item.where(F.size("ih") < WINDOW).select(F.size("ih")).distinct().collect())
+    runs = sorted({b - a for n in short for a, b in _parts(n)})
+    if short:
+        parts = [F.when(F.size("ih") == n, F.struct(F.lit(a).alias("item_at"), _run("ih", F.lit(a), b - a).alias("seed"))) for n in short for a, b in _parts(n)]
+        cut = item.where(F.size("ih") < WINDOW).select("item", F.explode(F.array_compact(F.array(*parts))).alias("part"))
+        seeds = seeds.unionByName(cut.select("item", "part.item_at", "part.seed"))
+    seeds = materialize(seeds, "seeds")
     n = seeds.count()
     blocks = max(1, -(-n // BLOCK_SEEDS))
 
@@ -84,36 +107,26 @@ def contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
 
     def past(block: int) -> DataFrame:
         mine = F.pmod(F.xxhash64("item"), F.lit(blocks)) == block
-        probe, whole = F.broadcast(seeds.where(mine)), F.broadcast(item.where(mine).where(F.size("ih") >= WINDOW).select("item", "item_id", "ih"))
-        hits = _seeded(hashed, "h").join(probe, "seed").join(whole, "item")
+        probe, whole = F.broadcast(seeds.where(mine)), F.broadcast(item.where(mine).select("item", "item_id", "ih"))
+        hits = _seeded(hashed, "h", runs).join(probe, "seed").join(whole, "item")
         first = F.col("at") - F.col("item_at")
         laid = hits.select("doc_id", "item_id", "item", "ih", first.alias("at"), F.greatest(first, F.lit(0)).alias("from"), F.size("h").alias("n_doc"), "h")
         upto = F.least(F.col("at") + F.size("ih"), F.col("n_doc"))
         part = F.slice("h", F.col("from") + 1, upto - F.col("from"))
         equal = F.zip_with(part, F.slice("ih", F.col("from") - F.col("at") + 1, upto - F.col("from")), lambda x, y: F.when(x == y, 1).otherwise(0))
         scored = laid.select("doc_id", "item_id", "at", equal.alias("equal"), F.size("ih").alias("n_item"))
-        # the seed lies within both, so the overlap has at least a mask's tokens; a shorter one than the window can't count
+        # an overlap shorter than the window, or than a shorter item, can't count
         scored = scored.where(F.size("equal") >= F.least(width, F.lit(WINDOW)))
         good = scored.where(_best_stretch(F.col("equal"), F.size("equal")) * 100 >= F.least(width, F.lit(WINDOW)) * AGREE)
         total = F.aggregate("equal", F.lit(0), lambda s, x: s + x)
         return good.select("doc_id", "item_id", "n_item", "at", total.alias("n_equal"))
 
     found = reduce(DataFrame.unionByName, (past(b) for b in range(blocks)))
-    short = item.where(F.size("ih") < WINDOW).select("item_id", "ih")
-    if not short.isEmpty():
-        found = found.unionByName(_short_items(hashed, short))
     best = F.max(F.struct("n_equal", (-F.col("at")).alias("back"), "n_item")).alias("best")
     out = found.groupBy("doc_id", "item_id").agg(best)
     return out.select("doc_id", "item_id", F.col("best.n_equal").cast("long").alias("n_equal"), F.col("best.n_item").cast("long").alias("n_item"), (-F.col("best.back")).cast("long").alias("at"))
 
 
-def _short_items(hashed: DataFrame, short: DataFrame) -> DataFrame:
-    """Documents that are, token by token, an item too short for a window (inside longer texts such a run means nothing)."""
-    whole = hashed.where((F.size("h") > 0) & (F.size("h") < WINDOW))
-    met = whole.join(short, whole.h == short.ih)
-    return met.select("doc_id", "item_id", F.size("ih").alias("n_item"), F.lit(0).alias("at"), F.size("ih").alias("n_equal"))
-
-
 def without_contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The rows of ``docs`` whose document overlaps no item; a row without doc_id that overlaps one goes too."""
     bad = contaminated(docs, items).select(F.col("doc_id").alias("bad_id")).distinct()

@@ -132,6 +132,24 @@ def test_decontamination(spark):
     assert {(r.doc_id, r.item_id) for r in hits.collect()} == expected and expected
 
 
+def test_decontamination_by_short_items(spark):
+    """Items of 1 to 12 tokens inside longer documents, whole and with substitutions at every one or two places."""
+    items = {n: " ".join(f"q{n}t{i}" for i in range(n)) for n in range(1, 13)}
+    docs, expected = [], set()
+    for n, item in items.items():
+        for k in (0, 1, 2, 3):
+            for bad in itertools.combinations(range(n), k) if k < 3 else [(0, n // 2, n - 1)]:
+                w = [f"z{i}" if i in bad else t for i, t in enumerate(item.split())]
+                docs.append((len(docs), " ".join(prose(len(docs), 20).split() + w + ["and", "more"])))
+                if not k or (n >= 9 and (n - len(bad)) * 100 >= 80 * n):
+                    expected.add((docs[-1][0], n, n - len(bad), 20))
+    docs.append((len(docs), " ".join(items[12].split()[1:])))
+    hits = decontam.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(list(items.items()), "item_id long, text string")).collect()
+    got = {(r.doc_id, r.item_id, r.n_equal, r.at) for r in hits}
+    # a token on its own is an item of one token wherever it stands
+    assert got == expected and all(r.n_item == r.item_id for r in hits)
+
+
 def test_mixing(spark):
     docs = table(spark, SF, "documents")
     mix = mixing.Mix(docs, block=8)
