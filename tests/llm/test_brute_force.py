@@ -132,6 +132,12 @@ def test_decontamination(spark):
     assert {(r.doc_id, r.item_id) for r in hits.collect()} == expected and expected
 
 
+def test_every_accepted_overlap_has_a_seed():
+    for bad in itertools.combinations(range(decontam.WINDOW), 2):
+        laid = ((at, m) for m in decontam.MASKS for at in range(decontam.WINDOW - len(m) + 1))
+        assert any(all(m[b - at] == "0" for b in bad if 0 <= b - at < len(m)) for at, m in laid), bad
+
+
 def test_decontamination_by_short_items(spark):
     """Items of 1 to 12 tokens inside longer documents, whole and with substitutions at every one or two places."""
     items = {n: " ".join(f"q{n}t{i}" for i in range(n)) for n in range(1, 13)}
