@@ -16,9 +16,15 @@ null and empty texts have the empty set).  Documents are linked if 100 * |A & B|
    collision-corrected Jaccard estimate (0.12, 4.4 deviations, below the threshold); then both full
    sets are compared.
 4. Linked classes form components.  Groups whose members still lie in several components are gone
-   over: every two members of unequal components are compared within the join, small ones by their sets and
-   others by short sketches (four bits a register); what may be similar is checked in the same way, so no link that
-   a band shows is lost because the pivot didn't show it.
+   over.  In groups of up to ``GROUP`` open members every two of unequal components are compared within the join,
+   small ones by their sets and others by short sketches (four bits a register), so that the comparisons stay
+   below ``GROUP`` times the rows.  The members of larger groups go another, exact way: of each set the rarest
+   quarter of its shingles (rarest among those sets) is kept, which two similar sets can't both miss, and sets that
+   share one of them are paired if the places it has in both leave room for the overlap that is needed.  What may be
+   similar is checked in the same way as before, so no link that a band shows is lost because the pivot didn't show it.
+
+A class is a node of its own: classes are numbered when they are written.  Where one doc_id has several texts,
+their classes are tied.
 """
 
 from __future__ import annotations
@@ -47,6 +53,8 @@ FEW = 64
 MOST_DIFFERENT = 90
 #: Sets up to this size are compared in full where pairs are found; larger ones by registers there, and in full after.
 SMALL_SET = 400
+#: Groups with more open members than this aren't compared two by two but by their sets' rarest shingles.
+GROUP = 1000
 #: A list of so many ids is broadcast at most (16 MB); a longer one is joined by a shuffle.
 BROADCAST_IDS = 2_000_000
 
@@ -188,7 +196,8 @@ def _sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         digests = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
         keep = np.fromiter((d == e for d, e in zip(digests, batch.digest, strict=True)), bool, len(sets))
         for at in np.array_split(np.flatnonzero(keep), max(1, len(sets) // 64)):
-            yield pd.DataFrame({"node": batch.node.to_numpy()[at], "members": [sets[i].view(np.int64) for i in at]})
+            if len(at):
+                yield pd.DataFrame({"node": batch.node.to_numpy()[at], "members": [sets[i].view(np.int64) for i in at]})
 
 
 def _sizes_allow(n: Column, m: Column) -> Column:
@@ -200,7 +209,7 @@ def _verified(pairs: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFra
     side = lambda x: classes.select(F.col("node").alias(x), F.col("regs").alias(f"regs_{x}"), F.col("n").alias(f"n_{x}"))
     likely = materialize(pairs.join(side("a"), "a").join(side("b"), "b").mapInPandas(_likely, "a long, b long"), "likely")
     nodes = likely.select(F.col("a").alias("node")).union(likely.select("b")).distinct()
-    sets = _sets_of(nodes.join(classes.select("node", "digest"), "node"), texts)
+    sets = _sets_of(nodes.join(classes.select("node", "first", "digest"), "node"), texts)
     full = lambda x: sets.select(F.col("node").alias(x), F.col("members").alias(f"set_{x}"))
     common = likely.join(full("a"), "a").join(full("b"), "b").withColumn("common", F.size(F.array_intersect("set_a", "set_b")))
     union = F.size("set_a") + F.size("set_b") - F.col("common")
@@ -210,10 +219,11 @@ def _verified(pairs: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFra
 
 
 def _sets_of(nodes: DataFrame, texts: DataFrame) -> DataFrame:
-    """(node, members): the shingle sets of class nodes (node, digest), from their texts."""
+    """(node, members): the shingle sets of class nodes (node, first, digest), from the texts of the class's first
+    document (those of them whose set is the class's)."""
     nodes = materialize(nodes, "nodes")
     wanted = F.broadcast(nodes) if nodes.count() <= BROADCAST_IDS else nodes
-    rows = texts.select(F.col("doc_id").cast("long").alias("node"), "text").join(wanted, "node")
+    rows = texts.select(F.col("doc_id").cast("long").alias("first"), "text").join(wanted, "first")
     sets = materialize(rows.mapInPandas(_sets, "node long, members array<bigint>").dropDuplicates(["node"]), "sets")
     drop(nodes)
     return sets
@@ -233,20 +243,74 @@ def _apart(pairs: DataFrame, components: DataFrame) -> DataFrame:
     return placed.where(F.coalesce("c_a", "a") != F.coalesce("c_b", "b"))
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
+def _ties(signed: DataFrame, classes: DataFrame) -> DataFrame:
+    """(a, b): where a doc_id has several texts, its smallest class with each other one."""
+    rows = signed.where("digest is not null and doc_id is not null").select("doc_id", "digest")
+    several = rows.groupBy("doc_id").agg(F.min("digest").alias("low"), F.max("digest").alias("high")).where("low <> high").select("doc_id")
+    own = rows.join(several, "doc_id", "left_semi").distinct().join(classes.select("digest", "node"), "digest")
+    low = own.groupBy("doc_id").agg(F.min("node").alias("a"))
+    return materialize(own.join(low, "doc_id").where("node <> a").select("a", F.col("node").alias("b")), "ties")
+
+
+def _pairs_by_prefix(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """(a, b): pairs of ``members`` (node, n, component) of unequal components that may be similar, none missing.
+
+    Of two sets with 100 * |A & B| >= THRESHOLD * |A | B| the overlap is at least THRESHOLD per cent of either, so
+    each shares one of its first n - ceil(n * THRESHOLD / 100) + 1 shingles in any common order with the other's.
+    The order is from rare to frequent among ``sets``.  Of the first one they share, at places i and j, the overlap
+    is at most 1 + min(n - i, m - j).
+    """
+    shingles = sets.select("node", F.explode("members").alias("shingle"))
+    spread = shingles.groupBy("shingle").agg(F.count(F.lit(1)).alias("spread"))
+    ranked = shingles.join(spread, "shingle").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("spread", "shingle"))).alias("ranked"))  # a set's own size
+    size = F.size("ranked")
+    first = F.slice("ranked", 1, (size - F.ceil(size * F.lit(THRESHOLD) / 100) + 1).cast("int"))
+    placed = ranked.join(members, "node").select("node", "n", "component", F.posexplode(first).alias("i", "r"))
+    rows = materialize(placed.select(F.col("r.shingle").alias("shingle"), "node", "n", "component", "i").where(F.col("r.spread") > 1), "prefixes")
+    side = lambda x: rows.select("shingle", *(F.col(c).alias(f"{c}_{x}") for c in ("node", "n", "component", "i")))
+    met = side("a").join(side("b"), "shingle").where("node_a < node_b and component_a <> component_b").where(_sizes_allow(F.col("n_a"), F.col("n_b")))
+    room = F.least(F.col("n_a") - F.col("i_a"), F.col("n_b") - F.col("i_b"))
+    met = met.where(room * (100 + THRESHOLD) >= (F.col("n_a") + F.col("n_b")) * THRESHOLD)
+    return met.select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
+
+
+def _pairs_by_groups(open_rows: DataFrame, classes: DataFrame, texts: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+    """(a, b): pairs of the members (key, node, n, component) of small groups that may be similar; tables to drop after."""
+    sketches = classes.select("node", "regs").mapInPandas(_short, "node long, bands array<bigint>, " + ", ".join(f"{w} long" for w in WORDS))
+    small = _sets_of(open_rows.where(F.col("n") <= SMALL_SET).select("node").distinct().join(classes.select("node", "first", "digest"), "node"), texts)
+    # 31 bits of each shingle; as many as fall together within a set are allowed for in counting what two share
+    cut = F.transform("members", lambda m: m.bitwiseAND(F.lit(0x7FFFFFFF)).cast("int"))
+    parts = small.select("node", F.array_distinct(cut).alias("cut"), F.size("members").alias("size")).select("node", F.col("cut").alias("members"), (F.col("size") - F.size("cut")).alias("lost"))
+    open_rows = materialize(open_rows.join(sketches, "node").join(parts, "node", "left"), "open")
+    one_side = lambda x: open_rows.select("key", *(F.col(c).alias(f"{c}_{x}") for c in ("node", "n", "component", "members", "lost", "bands", *WORDS)))
+    differ = _registers_differ([F.col(f"{w}_a") for w in WORDS], [F.col(f"{w}_b") for w in WORDS])
+    # of the bands that two share, the first in order compares them
+    once = F.array_min(F.array_intersect("bands_a", "bands_b")) == F.col("key")
+    # the intersection is named once: named twice, it would be computed up front for every pair, before the cheap tests
+    alike = (F.size(F.array_intersect("members_a", "members_b")) + F.col("lost_a")) * (100 + THRESHOLD) >= (F.col("n_a") + F.col("n_b")) * THRESHOLD
+    # registers decide only where a set isn't at hand
+    similar = F.when(F.col("members_a").isNull() | F.col("members_b").isNull(), differ <= MOST_DIFFERENT).otherwise(alike)
+    rest = one_side("a").join(one_side("b"), "key").where("node_a < node_b and component_a <> component_b").where(_sizes_allow(F.col("n_a"), F.col("n_b")) & once & similar)
+    return rest.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")), [small, open_rows]
+
+
+def near_duplicates(docs: DataFrame, group: int = GROUP) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text): doc_id, n_shingles, component_id, kept.
 
     Null and empty texts: n_shingles 0, linked with nothing.  Repeated rows and copies: linked.  A
     null doc_id can't stand for a component: such a row keeps null as component_id and is kept.
-    Rows of one doc_id are one node of the graph.  Other columns, of any name, aren't read.
+    Rows of one doc_id are one node of the graph, also if their texts differ.  Other columns, of any
+    name, aren't read.
     """
     small_batches(docs.sparkSession)
     texts = docs.select("doc_id", "text")
     rows = texts.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     signed = materialize(rows.mapInPandas(_sketches, "doc_id long, n long, digest binary, regs binary"), "sketches")
     usable = signed.where("digest is not null and doc_id is not null")
-    one = usable.groupBy("digest").agg(F.min(F.struct(F.col("doc_id").alias("node"), "n", "regs")).alias("s"))
-    classes = materialize(one.select("digest", "s.*"), "classes")
+    one = usable.groupBy("digest").agg(F.min(F.struct(F.col("doc_id").alias("first"), "n", "regs")).alias("s"))
+    # numbered as they are written: the numbers mean nothing but that no two classes share one
+    classes = materialize(one.select("digest", "s.*").withColumn("node", F.monotonically_increasing_id()), "classes")
+    ties = _ties(signed, classes)
 
     bands = classes.select("node", "n", "regs").mapInPandas(_bands, "key long, node long, n long")
     groups = bands.groupBy("key").agg(F.min("node").alias("pivot"), F.count(F.lit(1)).alias("members"), F.min(F.struct("node", "n"))["n"].alias("pivot_n")).where("members > 1").drop("members")
@@ -258,38 +322,32 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     links = _verified(nearest, classes, texts)
     apart = _apart(pivots.join(nearest, ["a", "b"], "left_anti"), _parents(links))
     more = _verified(apart.select("a", "b"), classes, texts)
-    found = materialize(connected_components(links.unionByName(more)), "components")
+    edges = links.unionByName(more).unionByName(ties)
+    found = materialize(connected_components(edges), "components")
 
     placed = shared.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    split = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("key")
-    open_rows = placed.where("node <> pivot").join(split, "key").select("key", "node", "n", "component")
-    sketches = classes.select("node", "regs").mapInPandas(_short, "node long, bands array<bigint>, " + ", ".join(f"{w} long" for w in WORDS))
-    small = _sets_of(open_rows.where(F.col("n") <= SMALL_SET).select("node").distinct().join(classes.select("node", "digest"), "node"), texts)
-    # 31 bits of each shingle: what they let through by chance is compared in full after
-    parts = small.select("node", F.transform("members", lambda m: m.bitwiseAND(F.lit(0x7FFFFFFF)).cast("int")).alias("members"))
-    open_rows = materialize(open_rows.join(sketches, "node").join(parts, "node", "left"), "open")
-    one_side = lambda x: open_rows.select("key", *(F.col(c).alias(f"{c}_{x}") for c in ("node", "n", "component", "members", "bands", *WORDS)))
-    differ = _registers_differ([F.col(f"{w}_a") for w in WORDS], [F.col(f"{w}_b") for w in WORDS])
-    # of the bands that two share, the first in order compares them
-    once = F.array_min(F.array_intersect("bands_a", "bands_b")) == F.col("key")
-    # the intersection is named once: named twice, it would be computed up front for every pair, before the cheap tests
-    alike = F.size(F.array_intersect("members_a", "members_b")) * (100 + THRESHOLD) >= (F.col("n_a") + F.col("n_b")) * THRESHOLD
-    # registers decide only where a set isn't at hand
-    similar = F.when(F.col("members_a").isNull() | F.col("members_b").isNull(), differ <= MOST_DIFFERENT).otherwise(alike)
-    rest = one_side("a").join(one_side("b"), "key").where("node_a < node_b and component_a <> component_b").where(_sizes_allow(F.col("n_a"), F.col("n_b")) & once & similar)
-    rest = rest.select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
-    last = _verified(rest.select("a", "b").distinct(), classes, texts)
+    split = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("open")).where("low <> high").select("key", "open")
+    open_rows = materialize(placed.where("node <> pivot").join(split, "key").select("key", "node", "n", "component", "open"), "open-groups")
+    rest, used = _pairs_by_groups(open_rows.where(F.col("open") <= group).drop("open"), classes, texts)
+    crowded = materialize(open_rows.where(F.col("open") > group).select("node", "n", "component").distinct(), "crowded")
+    if not crowded.isEmpty():
+        sets = _sets_of(crowded.select("node").join(classes.select("node", "first", "digest"), "node"), texts)
+        rest, used = rest.unionByName(_pairs_by_prefix(crowded, sets)), [*used, sets]
+    last = _verified(rest.distinct(), classes, texts)
     final = found
     if not last.isEmpty():
-        final = materialize(connected_components(links.unionByName(more).unionByName(last)), "components")
+        final = materialize(connected_components(edges.unionByName(last)), "components")
         drop(found)
 
-    of_class = classes.select("digest", "node").join(final, "node", "left").select("digest", F.coalesce("component", "node").alias("component"))
+    member = classes.select("digest", "node", "first").join(final, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    member = materialize(member, "members")
+    smallest = member.groupBy("component").agg(F.min("first").alias("component_id"))
+    of_class = member.join(smallest, "component").select("digest", "component_id")
     out = signed.select("doc_id", "n", "digest").join(of_class, "digest", "left")
     alone = F.col("doc_id").isNull() | F.col("digest").isNull()
-    component = F.when(alone, F.col("doc_id")).otherwise(F.col("component"))
+    component = F.when(alone, F.col("doc_id")).otherwise(F.col("component_id"))
     out = out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
-    drop(shared, pivots, small, open_rows, links, more, last)
+    drop(shared, pivots, open_rows, crowded, links, more, last, ties, *used)
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 

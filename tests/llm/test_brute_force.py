@@ -256,3 +256,38 @@ def test_language_held_out(spark):
 def test_every_sentence_has_a_cue():
     assert all(any(c in s.lower() for c in licenses.CUES) for s in licenses.SENTENCES.values())
     assert {n for _, names in licenses.RULES for n in names} <= set(licenses.SENTENCES)
+
+
+def test_near_dedup_ties_the_texts_of_one_id(spark):
+    """One doc_id with two texts is one node: what is near to either text is in its component."""
+    a, b = prose(301, 60), prose(302, 60)
+    a2, b2 = " ".join([*a.split(), "more"]), " ".join([*b.split(), "more"])
+    rows = [(1, a), (1, b), (2, b2), (3, a2), (4, prose(303, 60)), (1, None), (5, ""), (5, a2), (6, b2)]
+    out = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.component_id) for r in out if r.n_shingles) == [(1, 1), (1, 1), (2, 1), (3, 1), (4, 4), (5, 1), (6, 1)]
+    assert all(r.component_id == r.doc_id for r in out if not r.n_shingles)
+
+
+def test_near_dedup_when_short_hashes_collide(spark, monkeypatch):
+    """All shingles of a set alike in their lower 31 bits: no pair is lost."""
+    plain = near_dedup.shingle_set
+    monkeypatch.setattr(near_dedup, "shingle_set", lambda t, h: np.unique((plain(t, h) & ~np.uint64(0x7FFFFFFF)) | np.uint64(7)))
+    test_near_dedup_near_the_threshold(spark)
+
+
+def test_near_dedup_in_crowded_groups(spark):
+    """Groups too large to be compared two by two are decided by their sets' rarest shingles, with the same result."""
+    rng = random.Random(11)
+    base = prose(78, 90).split()
+    texts = []
+    for k in range(150):
+        own = prose(4000 + k // 3, 40).split()
+        w = base + own
+        for _ in range(rng.randint(0, 5)):
+            w[rng.randrange(len(w))] = f"y{rng.randrange(10_000)}"
+        texts.append(" ".join(w))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    expected = _components({i: _shingles(t) for i, t in enumerate(texts)})
+    assert 1 < len(set(expected.values())) < 150
+    for group in (2, 1000):
+        assert {r.doc_id: r.component_id for r in near_dedup.near_duplicates(df, group).collect()} == expected
