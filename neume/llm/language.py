@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pandas as pd
@@ -72,7 +73,12 @@ class Types(dict):
 
 
 def words_of(text: str | None) -> list[str]:
-    return _WORD.findall(text.encode("utf-8", "replace").decode().lower()) if text else []
+    """Runs of letters, lower-cased."""
+    found = _WORD.findall(text.encode("utf-8", "replace").decode().lower()) if text else []
+    if all(map(str.isalpha, found)):
+        return found
+    # what counts as alphanumeric without being a decimal digit may still be a number: a fraction, a circled figure
+    return ["".join(run) for w in found for letters, run in groupby(w, str.isalpha) if letters]
 
 
 def learn_rows(langs: list[str], texts: list[str], seed: int = 3) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
