@@ -91,7 +91,8 @@ def _labelled(docs: DataFrame, labels: DataFrame, sample: int) -> DataFrame:
     share = min(1.0, sample / max(1, marks.count()))
     draw = F.pmod(F.xxhash64("doc_id", F.lit(2024)), F.lit(1_000_000)) < int(share * 1_000_000)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return texts.join(F.broadcast(marks.where(draw)), "doc_id")  # at most about ``sample`` rows of 12 bytes
+    own = texts.join(F.broadcast(marks.where(draw)), "doc_id")  # at most about ``sample`` rows of 12 bytes
+    return own.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("y").alias("y"))  # a doc_id is one example
 
 
 def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[np.ndarray, np.ndarray, float]:
