@@ -7,7 +7,8 @@ so the totals are met exactly.  The i-th slot of a source takes the block that a
 permutation of the source's block numbers puts at i; after all blocks have been taken once, a second
 permutation deals them again.  The last slot is cut to the words that are missing from the target.
 
-Only counts reach the driver: one row per source, and the matrix of draws (at most ``SHARDS`` rows).
+Only counts reach the driver: one row per source, and the matrix of draws (at most ``SHARDS`` rows and a
+million cells).  The table of sources is joined as its size says, broadcast only below Spark's own limit.
 Neither a hot source nor a long document meets in one task: positions come from two levels of
 running sums over hashed buckets, and blocks are joined by (source, block number).
 """
@@ -45,7 +46,8 @@ def water_filled(sizes: list[int], weights: list[float], budget: float, most: fl
         for i in full:
             target[i] = float(most * sizes[i])
         left -= sum(target[i] for i in full)
-        open_ones = [i for i in open_ones if i not in set(full)]
+        gone = set(full)
+        open_ones = [i for i in open_ones if i not in gone]
     return target
 
 
@@ -157,36 +159,33 @@ class Mix:
         """(shard, source_no, slot, block, use): every slot of the mix with its block and the words it uses of it."""
         dealt = draws(self.slots, self.shards, self.seed)
         starts = np.cumsum(dealt, axis=0) - dealt
-        cells = [(int(s), int(i), int(starts[s, i]), int(dealt[s, i])) for s, i in zip(*np.nonzero(dealt), strict=True)]
-        cell = self.spark.createDataFrame(cells, "shard int, source_no int, start long, n long")
+        at = zip(*np.nonzero(dealt), strict=True)
+        cells = [(int(s), int(i), int(starts[s, i]), int(dealt[s, i]), self.words[i], self.slots[i], self.cuts[i]) for s, i in at]
+        cell = self.spark.createDataFrame(cells, "shard int, source_no int, start long, n long, words long, slots long, cut long")
         step = F.lit(SHARD_SLOTS)
         chunk = cell.withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / step).cast("long"))))
         low = F.col("start") + F.col("chunk") * step
-        high = F.col("start") + F.least(F.col("n"), (F.col("chunk") + 1) * step) - 1
-        rows = chunk.select("shard", "source_no", low.alias("low"), high.alias("high")).repartition(max(1, sum(self.slots) // 500_000))
-        slot = rows.select("shard", "source_no", F.explode(F.sequence("low", "high")).alias("slot"))
-        words, slots, cuts, block, seed = self.words, self.slots, self.cuts, self.block, self.seed
+        high = F.col("start") + F.least(F.col("n"), (F.col("chunk") + 1) * step)
+        rows = chunk.select("shard", "source_no", low.alias("low"), high.alias("high"), "words", "slots", "cut").repartition(max(1, sum(self.slots) // 500_000))
+        block, seed = self.block, self.seed
 
         def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for batch in batches:
-                number, use = np.zeros(len(batch), np.int64), np.zeros(len(batch), np.int64)
-                source, at = batch.source_no.to_numpy(), batch.slot.to_numpy()
-                for s in np.unique(source):
-                    blocks, own = -(-words[s] // block), source == s
-                    turns, inner = np.divmod(at[own], blocks)
-                    got = np.empty(len(inner), np.int64)
+                for r in batch.itertuples(index=False):
+                    at, blocks = np.arange(r.low, r.high), -(-r.words // block)
+                    turns, inner = np.divmod(at, blocks)
+                    number = np.empty(len(at), np.int64)
                     for turn in np.unique(turns):
-                        got[turns == turn] = Permutation(blocks, _key(seed, int(s), int(turn)))(inner[turns == turn])
-                    number[own] = got
-                    use[own] = np.where(got == blocks - 1, words[s] - (blocks - 1) * block, block) - np.where(at[own] == slots[s] - 1, cuts[s], 0)
-                yield batch.assign(block=number, use=use)
+                        number[turns == turn] = Permutation(blocks, _key(seed, r.source_no, int(turn)))(inner[turns == turn])
+                    use = np.where(number == blocks - 1, r.words - (blocks - 1) * block, block) - np.where(at == r.slots - 1, r.cut, 0)
+                    yield pd.DataFrame({"shard": r.shard, "source_no": r.source_no, "slot": at, "block": number, "use": use})
 
-        return slot.mapInPandas(place, "shard int, source_no int, slot long, block long, use long")
+        return rows.mapInPandas(place, "shard int, source_no int, slot long, block long, use long")
 
     def pieces(self) -> DataFrame:
         """(source_no, block, offset, low, high): the stretch of each block that a document fills, from 0 within the block."""
         ids = self.source_table().select("source_no", "s_source")
-        rows = self.placed.join(F.broadcast(ids), self.placed.source.eqNullSafe(ids.s_source))  # one row per source
+        rows = self.placed.join(ids, self.placed.source.eqNullSafe(ids.s_source))
         size, at = F.lit(self.block), F.col("offset")
         first, last = F.floor(at / size).cast("long"), F.floor((at + F.col("size") - 1) / size).cast("long")
         rows = rows.select("source_no", "offset", "size", F.explode(F.sequence(first, last)).alias("block"))
@@ -201,10 +200,10 @@ class Mix:
         words = F.greatest(F.least("high", "use") - F.col("low"), F.lit(0))
         by_doc = met.groupBy("source_no", "offset").agg(F.sum(words).alias("taken"))
         ids = self.source_table()
-        full = self.placed.join(F.broadcast(ids), self.placed.source.eqNullSafe(ids.s_source)).join(by_doc, ["source_no", "offset"], "left")
+        full = self.placed.join(ids, self.placed.source.eqNullSafe(ids.s_source)).join(by_doc, ["source_no", "offset"], "left")
         full = full.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
         none = self.sized.where("size = 0")
-        none = none.join(F.broadcast(ids), none.source.eqNullSafe(ids.s_source)).select("doc_id", "size", "source_size", "target", F.lit(0).cast("long").alias("taken"))
+        none = none.join(ids, none.source.eqNullSafe(ids.s_source)).select("doc_id", "size", "source_size", "target", F.lit(0).cast("long").alias("taken"))
         return full.unionByName(none)
 
     def mixed_blocks(self, docs: DataFrame) -> DataFrame:
@@ -217,7 +216,7 @@ class Mix:
         one = rows.dropDuplicates(["doc_id", "source", "of_text"])
         own = one.join(at, one.doc_id.eqNullSafe(at.p_id) & one.source.eqNullSafe(at.p_source) & (F.size("words") == F.col("p_size"))).dropDuplicates(["source", "offset"])
         ids = self.source_table().select("source_no", "s_source")
-        own = own.join(F.broadcast(ids), own.source.eqNullSafe(ids.s_source))
+        own = own.join(ids, own.source.eqNullSafe(ids.s_source))
         cut = self.pieces().join(own.select("source_no", "offset", "words"), ["source_no", "offset"])
         begin = F.col("block") * F.lit(self.block) + F.col("low") - F.col("offset")
         part = cut.select("source_no", "block", "low", F.slice("words", begin.cast("int") + 1, (F.col("high") - F.col("low")).cast("int")).alias("part"))
