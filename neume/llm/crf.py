@@ -16,9 +16,10 @@ def viterbi(emissions: np.ndarray, lengths: np.ndarray, transitions: np.ndarray,
     back = np.zeros(emissions.shape, np.int8)
     for t in range(1, steps):
         through = score[:, :, None] + transitions
-        back[:, t] = through.argmax(1)
+        best = through.argmax(1)
+        back[:, t] = best
         live = (t < lengths)[:, None]
-        score = np.where(live, through.max(1) + emissions[:, t], score)
+        score = np.where(live, np.take_along_axis(through, best[:, None], 1)[:, 0] + emissions[:, t], score)
     out = np.zeros((chains, steps), np.int8)
     label = score.argmax(1)
     rows = np.arange(chains)

@@ -1,15 +1,14 @@
 """Personal data: exact patterns, and a linear-chain conditional random field over word shapes.
 
 Emails, ip addresses, card and phone numbers are found by pattern (``base_spans``), and stay.  The field
-is trained from the labelled table in ``pii_examples`` and labels every line's words, whole lines of any
-length decoded by Viterbi in batches; its spans are added where they don't touch a span that is there already (phone numbers in national
-form, social security numbers, secrets, names after a title).
+is trained from the labelled table in ``pii_examples`` and labels the words of every line, whole lines of any
+length decoded by Viterbi in batches; its spans are added where they don't touch a span that is there already (phone
+numbers in national form, social security numbers, secrets, names).
 
 A word's features are its shape (letters, digits and signs by kind, runs squeezed), its length, and
-whether it is a cue word; a place's emission adds those of the words beside it.  Lines without a digit, an
-at or equals sign or a cue word aren't decoded: by definition every kind holds digits or follows a cue.  A
-decoded span must meet its kind's form (``_holds``): a card number passes Luhn, a name stands right after a
-title or "name", a secret has 8 signs or more, and so on.
+whether it is a cue word; a place's emission adds those of the words beside it and the cues two words away.  A
+decoded span must meet its kind's form (``_holds``): a card number passes Luhn, a social security number has nine
+digits, a secret eight signs or more, every word of a name begins with a capital, and so on.
 """
 
 from __future__ import annotations
@@ -17,7 +16,6 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -32,16 +30,26 @@ BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "name", "secret", "ssn")
 LABELS = ["outside", *(f"{edge}-{k}" for k in KINDS for edge in ("first", "next"))]
 CELLS = 512 * 256  # words of a batch of chains, padding included; a longer line is a batch of its own
-PASSES = 60
-
-_EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
+PART = 1 << 20  # characters that are looked at together
+PASSES = 25
+#: From where a word's features are seen: two words before the word they speak of, to two after.
+PLACES = (-2, -1, 0, 1, 2)
+#: Distinct words, and kinds of words, that a task remembers (some 40 MB each) before it forgets them all.
+MOST_WORDS, MOST_KINDS = 200_000, 60_000
+
+_DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
+_NO_LOCAL = re.compile(r"[^A-Za-z0-9._%+-]")
+_EMAIL = re.compile(r"[A-Za-z0-9._%+-]+" + _DOMAIN.pattern)
 _IP = re.compile(r"(?<![0-9])[0-9]+(?:\.[0-9]+){3}")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
-CUES = ("call", "phone", "tel", "fax", "mobile", "reach", "ring", "ssn", "social", "security", "token", "secret", "api_key", "password", "key", "mail", "contact", "host", "server", "card", "pay", "mr", "mrs", "ms", "dr", "dear", "name", "number")
-_TITLES = ("mr", "mrs", "ms", "dr", "name")
-_CUE = re.compile(r"[0-9@=]|\b(?:" + "|".join(CUES) + r")\b", re.IGNORECASE)
+#: Words that the field knows by themselves.
+CUES = frozenset(
+    "call phone tel fax mobile reach ring ssn social security token secret api_key password key mail contact host server card pay mr mrs ms dr dear name number "
+    "dial cell whatsapp text pwd bearer passwort contraseña teléfono telefon prof sir miss herr frau sr sra señor señora mme sincerely regards signed by patient customer is no".split()
+)
+_HEX = re.compile(r"[\"'#*$%&]*[0-9A-Fa-f]{16,}[\"'#*$%&.,!]*")
 _RUNS = re.compile(r"(.)\1+")
 
 
@@ -53,6 +61,22 @@ def _luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
+def _emails(word: str) -> list[tuple[int, int]]:
+    """Addresses in a word, leftmost first: each at sign's local part is the run of its signs before it, back to the
+    address or at sign before; every sign is looked at twice at most."""
+    out, low = [], 0
+    pieces = word.split("@")
+    at = 0
+    for before in pieces[:-1]:
+        at += len(before)
+        start = max(low, at - len(_NO_LOCAL.split(before)[-1]))
+        if start < at and (m := _DOMAIN.match(word, at)):
+            out.append((start, m.end()))
+            low = m.end()
+        at += 1
+    return out
+
+
 def base_spans(text: str) -> list[tuple[str, int, int]]:
     """Spans of the four exact patterns, by kind as listed, then start; matches that fail their test drop out."""
     out = []
@@ -60,7 +84,7 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
         # an address holds no white space, so words with an at sign are searched alone
         for word in _WORD.finditer(text):
             if "@" in word[0]:
-                out += [("email", word.start() + m.start(), word.start() + m.end()) for m in _EMAIL.finditer(word[0])]
+                out += [("email", word.start() + s, word.start() + e) for s, e in _emails(word[0])]
     for m in _IP.finditer(text):
         if all(len(part.lstrip("0")) <= 3 and int(part.lstrip("0") or 0) <= 255 for part in m[0].split(".")):
             out.append(("ip", m.start(), m.end()))
@@ -75,66 +99,90 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return out
 
 
-def shape(word: str) -> tuple[str, str, str]:
-    """(squeezed shape, length class, cue) of a word."""
-    signs = "".join("X" if c.isupper() else "x" if c.isalpha() else "9" if c.isdigit() else c for c in word[:64])
-    core = word.strip(".,;:!?\"'()[]#*$%&").lower()
-    return _RUNS.sub(r"\1+", signs), str(min(len(core), 12) if any(c.isdigit() for c in core) else 0), core if core in CUES else ""
-
-
-def _plain(word: str) -> bool:
-    return not _CUE.search(word)
+def _core(word: str) -> str:
+    return word.strip(".,;:!?\"'()[]#*$%&").lower()
 
 
-@lru_cache(maxsize=100_000)
 def _names(word: str) -> tuple[str, ...]:
-    squeezed, size, cue = shape(word)
-    if _plain(word):  # all plain words look alike but for how they begin and end
-        squeezed, size = ("X" if word[:1].isupper() else "x") + ("." if word[-1:] in ".,;:!?" else "" if word[-1:].isalnum() else "#"), "0"
-    digits = sum(c.isdigit() for c in word)
-    hexlike = "hex" if digits and re.fullmatch(r"[\"'#*$%&]*[0-9A-Fa-f]{16,}[\"'#*$%&.,!]*", word) else ""
-    mixed_case = "mix" if digits and any(c.isalpha() for c in word) else ""
-    return tuple(x for x in (f"s{squeezed}", f"n{size}", f"d{min(digits, 11)}", f"c{cue}" if cue else "", hexlike, mixed_case, f"e{word[-1:] if not word[-1:].isalnum() else ''}") if x)
+    """The features of a word."""
+    core = _core(word)
+    cue = (f"c{core}",) if core in CUES else ()
+    end = "" if word[-1:].isalnum() else word[-1:]
+    if not any(map(str.isdigit, word)) and "@" not in word and "=" not in word:
+        # words of letters look alike but for how they begin and end
+        return (("sX" if word[:1].isupper() else "sx") + ("." if end and end in ".,;:!?" else "#" if end else ""), *cue, f"e{end}")
+    digits = sum(map(str.isdigit, word))
+    squeezed = _RUNS.sub(r"\1+", "".join("X" if c.isupper() else "x" if c.isalpha() else "9" if c.isdigit() else c for c in word))
+    size = min(len(core), 12) if any(map(str.isdigit, core)) else 0
+    hexlike = ("hex",) if digits and _HEX.fullmatch(word) else ()
+    mixed_case = ("mix",) if digits and any(map(str.isalpha, word)) else ()
+    return (f"s{squeezed}", f"n{size}", f"d{min(digits, 11)}", *cue, *hexlike, *mixed_case, f"e{end}")
+
+
+def _seen_from(names: tuple[str, ...], place: int) -> Iterator[str]:
+    """The features that a place ``place`` words away sees of a word."""
+    return (n for n in names if abs(place) < 2 or n.startswith("c"))
 
 
 class Field:
     """The trained field: feature numbers by name and place, and the weights over them."""
 
     def __init__(self, features: dict[tuple[str, int], int], weights: np.ndarray, moves: np.ndarray, start: np.ndarray) -> None:
-        self.features, self.weights, self.moves, self.start = features, weights, moves, start
-        self.rows: dict[tuple[str, ...], int] = {}
-        self.table = np.zeros((0, 3, len(LABELS)))
+        self.features, self.weights = features, weights
+        self.moves, self.start = moves.astype(np.float32), start.astype(np.float32)
+        self._forget()
+
+    def _forget(self) -> None:
+        """No words known: row 0 stands for the places beside a line."""
+        self.rows: dict[str, int] = {}
+        self.kinds: dict[tuple[str, ...], int] = {(): 0}
+        self.table = np.zeros((1024, len(PLACES), len(LABELS)), np.float32)
 
     def _vectors(self, names: tuple[str, ...]) -> np.ndarray:
-        out = np.zeros((3, len(LABELS)))
-        for place in (-1, 0, 1):
-            for name in names:
+        out = np.zeros((len(PLACES), len(LABELS)))
+        for k, place in enumerate(PLACES):
+            for name in _seen_from(names, place):
                 if (at := self.features.get((name, place))) is not None:
-                    out[place + 1] += self.weights[at]
+                    out[k] += self.weights[at]
         return out
 
-    def emissions(self, words: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
-        lengths = np.array([len(w) for w in words])
-        ids = np.zeros((len(words), int(lengths.max()) + 2), np.int64)  # 0: nothing there
-        if not self.rows:
-            self.rows[()], self.table = 0, np.zeros((1, 3, len(LABELS)))
-        new = []
-        for r, line in enumerate(words):
-            for c, word in enumerate(line):
-                names = _names(word)
-                if (at := self.rows.get(names)) is None:
-                    at = self.rows[names] = len(self.rows)
-                    new.append(self._vectors(names))
-                ids[r, c + 1] = at
-        if new:
-            self.table = np.concatenate([self.table, np.stack(new)])
-        t = self.table
-        # what a word says of the place after it, of its own, and of the place before it
-        return t[ids[:, :-2], 0] + t[ids[:, 1:-1], 1] + t[ids[:, 2:], 2], lengths
-
-    def decode(self, words: list[list[str]]) -> np.ndarray:
-        found, lengths = self.emissions(words)
-        return crf.viterbi(found, lengths, self.moves, self.start)
+    def _row(self, word: str) -> int:
+        names = _names(word)
+        if (at := self.kinds.get(names)) is None:
+            at = self.kinds[names] = len(self.kinds)
+            if at == len(self.table):
+                self.table = np.concatenate([self.table, np.zeros_like(self.table)])
+            self.table[at] = self._vectors(names)
+        if len(word) <= 64:  # longer ones are rare, and would fill the memory
+            self.rows[word] = at
+        return at
+
+    def decode(self, words: list[list[str]]) -> list[np.ndarray]:
+        """The best label of every word of every line."""
+        if len(self.rows) > MOST_WORDS or len(self.kinds) > MOST_KINDS:
+            self._forget()
+        known, row, reach = self.rows.get, self._row, max(PLACES)
+        lengths = np.array([len(w) for w in words], np.int64)
+        starts = np.cumsum(lengths + reach) - lengths - reach
+        ids = np.zeros(int((lengths + reach).sum()) + reach, np.int64)  # 0: nothing there, before, between and after lines
+        for line, start in zip(words, starts + reach, strict=True):
+            ids[start : start + len(line)] = [row(w) if (at := known(w)) is None else at for w in line]
+        out = [np.zeros(n, np.int8) for n in lengths]
+        if not words:
+            return out
+        # what the words before a place, its own, and those after it say of it
+        n = len(ids) - 2 * reach
+        emissions = self.table[ids[:n], 0].copy()
+        for k, p in enumerate(PLACES[1:], 1):
+            emissions += self.table[ids[reach + p : reach + p + n], k]
+        for own in _batched(lengths.tolist()):
+            chosen = np.array(own)
+            steps = np.arange(int(lengths[chosen].max()))
+            at = np.minimum(starts[chosen][:, None] + steps, n - 1)
+            labels = crf.viterbi(emissions[at], lengths[chosen], self.moves, self.start)
+            for r, found in zip(chosen, labels, strict=True):
+                out[r] = found[: lengths[r]]
+        return out
 
 
 def _marked(example: str) -> tuple[list[str], list[int]]:
@@ -157,11 +205,11 @@ def train(examples: tuple[str, ...] = EXAMPLES) -> Field:
     types: dict[tuple, int] = {}
     chains, golds = [], []
     for words, labels in lines:
-        names = [(), *(_names(w) for w in words), ()]
+        names = [(), (), *(_names(w) for w in words), (), ()]
         chain = []
-        for i in range(1, len(names) - 1):
+        for i in range(2, len(names) - 2):
             # the word before is read at place -1 of its own features, and so on
-            own = tuple((n, p) for p, at in ((-1, i - 1), (0, i), (1, i + 1)) for n in names[at])
+            own = tuple((n, p) for p in PLACES for n in _seen_from(names[i + p], p))
             for f in own:
                 features.setdefault(f, len(features))
             chain.append(types.setdefault(own, len(types)))
@@ -183,33 +231,56 @@ def _trimmed(text: str, start: int, end: int) -> tuple[int, int]:
 
 def find(field: Field, texts: list[str | None]) -> list[tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]]:
     """(base spans, all spans) of each text; all spans by kind as in KINDS, then start."""
-    base = [base_spans(t) if t else [] for t in texts]
-    lines, words, offsets = [], [], []
-    for i, text in enumerate(texts):
-        at = 0
-        for line in (text or "").split("\n"):
-            if _CUE.search(line):
-                found = [(m[0], at + m.start()) for m in _WORD.finditer(line)]
-                if found:
-                    lines.append(i)
-                    words.append([w for w, _ in found])
-                    offsets.append([o for _, o in found])
-            at += len(line) + 1
-    extra: list[list[tuple[str, int, int]]] = [[] for _ in texts]
-    for own in _batched([len(w) for w in words]):
-        for r, labels in zip(own, field.decode([words[r] for r in own]), strict=True):
-            if labels.any():
-                extra[lines[r]] += _spans(texts[lines[r]], words[r], offsets[r], labels[: len(words[r])])
     out = []
-    for text_base, more in zip(base, extra, strict=True):
-        taken, kept = sorted((s, e) for _, s, e in text_base), []
-        for kind, s, e in sorted(more, key=lambda x: x[1]):
-            if s < e and not any(s < b and a < e for a, b in taken):
-                kept.append((kind, s, e))
-        out.append((text_base, sorted(text_base + kept, key=lambda x: (KINDS.index(x[0]), x[1], x[2]))))
+    for part in _parts(texts):
+        lines = [(i, at, line) for i, text in enumerate(part) for at, line in _lines(text or "")]
+        words = [_WORD.findall(line) for _, _, line in lines]
+        extra: list[list[tuple[str, int, int]]] = [[] for _ in part]
+        for (i, at, line), own, labels in zip(lines, words, field.decode(words), strict=True):
+            if labels.any():
+                extra[i] += _spans(part[i], own, [at + m.start() for m in _WORD.finditer(line)], labels)
+        for text, more in zip(part, extra, strict=True):
+            base = base_spans(text) if text else []
+            kept = _apart(more, base)
+            out.append((base, sorted(base + kept, key=lambda x: (KINDS.index(x[0]), x[1], x[2]))))
     return out
 
 
+def _apart(more: list[tuple[str, int, int]], base: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
+    """The spans of ``more`` (which don't overlap) that touch none of ``base`` (which may), in one walk over both."""
+    out, taken, at, reach = [], sorted((s, e) for _, s, e in base), 0, 0
+    for kind, s, e in sorted(more, key=lambda x: x[1]):
+        while at < len(taken) and taken[at][0] < e:  # ``reach``: how far those that begin before this one's end go
+            reach = max(reach, taken[at][1])
+            at += 1
+        if s < e and reach <= s:
+            out.append((kind, s, e))
+    return out
+
+
+def _parts(texts: list[str | None]) -> Iterator[list[str | None]]:
+    """The texts in order, in parts of some ``PART`` characters (or one longer text)."""
+    own: list[str | None] = []
+    size = 0
+    for text in texts:
+        own.append(text)
+        size += len(text or "")
+        if size >= PART:
+            yield own
+            own, size = [], 0
+    if own:
+        yield own
+
+
+def _lines(text: str) -> Iterator[tuple[int, str]]:
+    """(offset, line) of the lines that hold anything."""
+    at = 0
+    for line in text.split("\n"):
+        if line:
+            yield at, line
+        at += len(line) + 1
+
+
 def _batched(lengths: list[int]) -> Iterator[list[int]]:
     """Places of ``lengths`` in batches of like length: 512 at most, of ``CELLS`` words when padded."""
     own: list[int] = []
@@ -232,18 +303,17 @@ def _spans(text: str, words: list[str], offsets: list[int], labels: np.ndarray)
         while end < len(labels) and LABELS[labels[end]] == f"next-{kind}":
             end += 1
         start, stop = _trimmed(text, offsets[at], offsets[end - 1] + len(words[end - 1]))
-        before = words[at - 1].strip(".:").lower() if at else ""
-        if start < stop and _holds(kind, text[start:stop], before):
+        if start < stop and _holds(kind, text[start:stop]):
             out.append((kind, start, stop))
         at = end
     return out
 
 
-def _holds(kind: str, found: str, before: str) -> bool:
+def _holds(kind: str, found: str) -> bool:
     """Whether a decoded span has its kind's form."""
     digits = "".join(c for c in found if c in "0123456789")
     if kind == "name":
-        return before in _TITLES and len(found) > 1 and not digits
+        return len(found) > 1 and not digits and all(w[0].isupper() for w in found.split())
     if kind == "secret":
         return len(found) >= 8 and any(c.isalnum() for c in found)
     if kind == "card":
