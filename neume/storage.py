@@ -1,7 +1,8 @@
 """Tables that cut lineage: written once into the folder all executors share, then read back.
 
-The folder is ``spark.checkpoint.dir`` as the session has it.  Only where that is unset (a local
-test session) a temporary folder of this machine is made and set.
+The folder is ``spark.checkpoint.dir`` as the session has it.  Only where that is unset and the master is
+local (a test session) a temporary folder of this machine is made and set; on a cluster that is an error, since
+each executor would write to a disk of its own.
 """
 
 from __future__ import annotations
@@ -37,6 +38,8 @@ def shared_dir(spark: SparkSession) -> str:
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     found = found or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         folder = tempfile.mkdtemp(prefix="neume-checkpoint-")
         atexit.register(shutil.rmtree, folder, ignore_errors=True)
         found = f"file://{folder}"
