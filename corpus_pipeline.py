@@ -8,6 +8,7 @@ is left, with the words the mix takes of it.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from neume.llm.common import table
 from neume.llm.decontam import without_contaminated
@@ -29,9 +30,17 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document with the smallest id stays."""
-    kept = near_duplicates(docs).where("kept").select("doc_id").distinct()
-    return docs.join(kept, docs.doc_id.eqNullSafe(kept.doc_id), "left_semi")
+    """Of each group of near copies the document with the smallest id stays, in one row.
+
+    Where that id has several rows, the least of those with a text that is kept stays (rows without an id stay all:
+    nothing says that they are one document).
+    """
+    found = materialize(near_duplicates(docs).where("kept").groupBy("doc_id").count(), "kept")
+    kept = found.select("doc_id")
+    several = docs.join(found.where("count > 1 and doc_id is not null"), "doc_id", "left_semi").select(*docs.columns)
+    one = several.groupBy("doc_id").agg(F.min(F.struct(F.col("text").isNull().alias("none"), F.struct(*docs.columns).alias("own"))).alias("r")).select("r.own.*")
+    single = kept.join(found.where("count > 1 and doc_id is not null").select("doc_id"), "doc_id", "left_anti")
+    return docs.join(single, docs.doc_id.eqNullSafe(single.doc_id), "left_semi").unionByName(one)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
