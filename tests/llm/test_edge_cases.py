@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from neume.llm import decontam, language, licenses, line_dedup, mixing, near_dedup, pii, quality, toxicity
+from tests.llm.conftest import prose
 
 N = 37
 
@@ -183,3 +184,10 @@ def test_pipeline_stages(spark, odd_docs, no_docs, empty, tmp_path):
         rows = out.collect()
         assert not empty or not rows
         docs = spark.createDataFrame(rows, out.schema)
+
+
+def test_pipeline_keeps_one_row_of_an_id(spark):
+    rows = [(1, prose(1, 40)), (1, prose(1, 40)), (2, prose(1, 40)), (3, prose(3, 40)), (None, prose(4, 40)), (None, prose(4, 40)), (5, None), (5, ""), (6, prose(6, 40)), (6, prose(7, 40))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"no_text": F.lit(1), "count": F.lit(2), "r": F.lit(3)})
+    out = corpus_pipeline.near_dedup(spark, docs, "")
+    assert out.columns == docs.columns and sorted((r.doc_id or 0, r.text) for r in out.collect()) == sorted([(1, rows[0][1]), (3, rows[3][1]), (0, rows[4][1]), (0, rows[4][1]), (5, ""), (6, min(rows[8][1], rows[9][1]))])
