@@ -3,16 +3,20 @@
 Test items and training documents are token sequences (runs of letters and digits, lower-cased).  A
 mask of ones and zeros is laid on every position; the tokens under its ones are hashed and those
 under its zeros ignored, so that a seed still hits where an ignored token was replaced.  Three masks
-with different gaps make up for each other.  Document seeds meet the hashes of the test seeds, and
-round every hit the item is laid beside the document: an overlap counts if some stretch of
-``WINDOW`` tokens (or the whole item, if shorter) agrees in at least ``AGREE`` per cent of its places,
-compared by place, so substitutions are tolerated and shifts show as another diagonal.
+with different gaps make up for each other: wherever two of 13 tokens differ, one of them hits.
+Document seeds meet the hashes of the test seeds; a hit names a document, an item and the place where
+the item begins (a diagonal), and each of these is looked at once, however many seeds show it.  The item is
+laid there beside the document: an overlap counts if some stretch of ``WINDOW`` tokens agrees in at
+least ``AGREE`` per cent of its places, compared by place, so substitutions are tolerated and shifts show as
+another diagonal.
+
+Items shorter than ``WINDOW`` must agree over their whole length.  One of 9 to 12 tokens must do so in as many
+per cent, anywhere in a document: it is cut into one part more than places may differ, one of which is then
+whole, and the parts are its seeds.  An item of up to 8 tokens must stand in the document as it is.
 
 The test set is the stated query set: its seeds are broadcast in blocks of at most ``BLOCK_SEEDS``
-rows, and the whole corpus is streamed past each block without a shuffle of its seeds.  An item of 9 to 12
-tokens must agree over its whole length, in as many per cent, anywhere in a document: it is cut into one
-part more than places may differ, one of which is then whole, and the parts are its seeds.  An item of up to
-8 tokens must stand in the document as it is.
+rows, and the whole corpus is streamed past each block without a shuffle of its seeds; what is shuffled are the
+hits.  With several blocks the corpus is tokenised once, into a table in the shared folder.
 
 All of it is DataFrame expressions.
 """
@@ -33,6 +37,8 @@ WINDOW, AGREE = 13, 80
 #: Items with fewer tokens must be found unchanged.
 TOLERANT = 9
 BLOCK_SEEDS = 1_000_000
+#: A list of so many rows of documents with hits is broadcast at most (some 40 MB); a longer one is joined by a shuffle.
+BROADCAST_ROWS = 1_000_000
 
 
 def tokens(text: Column) -> Column:
@@ -101,27 +107,33 @@ def contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
     n = seeds.count()
     blocks = max(1, -(-n // BLOCK_SEEDS))
 
-    doc = docs.select(F.col("doc_id"), F.col("text").cast("string").alias("text"))
-    hashed = doc.select("doc_id", tokens(F.col("text")).alias("h"))
-    width = F.col("n_item")
+    text = F.col("text").cast("string")
+    doc = docs.select("doc_id", F.xxhash64("doc_id", text).alias("row"), text.alias("text"))
+    hashed = doc.select("doc_id", "row", tokens(F.col("text")).alias("h"))
+    if blocks > 1:
+        hashed = materialize(hashed, "tokens")
 
     def past(block: int) -> DataFrame:
-        mine = F.pmod(F.xxhash64("item"), F.lit(blocks)) == block
-        probe, whole = F.broadcast(seeds.where(mine)), F.broadcast(item.where(mine).select("item", "item_id", "ih"))
-        hits = _seeded(hashed, "h", runs).join(probe, "seed").join(whole, "item")
-        first = F.col("at") - F.col("item_at")
-        laid = hits.select("doc_id", "item_id", "item", "ih", first.alias("at"), F.greatest(first, F.lit(0)).alias("from"), F.size("h").alias("n_doc"), "h")
-        upto = F.least(F.col("at") + F.size("ih"), F.col("n_doc"))
-        part = F.slice("h", F.col("from") + 1, upto - F.col("from"))
-        equal = F.zip_with(part, F.slice("ih", F.col("from") - F.col("at") + 1, upto - F.col("from")), lambda x, y: F.when(x == y, 1).otherwise(0))
-        scored = laid.select("doc_id", "item_id", "at", equal.alias("equal"), F.size("ih").alias("n_item"))
-        # an overlap shorter than the window, or than a shorter item, can't count
-        scored = scored.where(F.size("equal") >= F.least(width, F.lit(WINDOW)))
-        good = scored.where(_best_stretch(F.col("equal"), F.size("equal")) * 100 >= F.least(width, F.lit(WINDOW)) * AGREE)
-        total = F.aggregate("equal", F.lit(0), lambda s, x: s + x)
-        return good.select("doc_id", "item_id", "n_item", "at", total.alias("n_equal"))
-
-    found = reduce(DataFrame.unionByName, (past(b) for b in range(blocks)))
+        probe = F.broadcast(seeds.where(F.pmod(F.xxhash64("item"), F.lit(blocks)) == block))
+        met = _seeded(hashed, "h", runs).join(probe, "seed")
+        return met.select("doc_id", "row", "item", (F.col("at") - F.col("item_at")).alias("at"))
+
+    hits = materialize(reduce(DataFrame.unionByName, (past(b) for b in range(blocks))).distinct(), "hits")
+    marked = materialize(hits.select(F.col("doc_id").alias("m_id"), F.col("row").alias("m_row")).distinct(), "marked")
+    few = marked.count() <= BROADCAST_ROWS
+    own = hashed if blocks > 1 else doc
+    own = own.join(F.broadcast(marked) if few else marked, (own.row == marked.m_row) & own.doc_id.eqNullSafe(marked.m_id), "left_semi")
+    own = own.select("doc_id", "row", "h") if blocks > 1 else own.select("doc_id", "row", tokens(F.col("text")).alias("h"))
+    at = hits.select(F.col("doc_id").alias("h_id"), F.col("row").alias("h_row"), "item", "at")
+    laid = own.join(at, (own.row == at.h_row) & own.doc_id.eqNullSafe(at.h_id)).join(item, "item")
+    laid = laid.select("doc_id", "item_id", "at", "h", "ih", F.greatest("at", F.lit(0)).alias("from"), F.least(F.col("at") + F.size("ih"), F.size("h")).alias("upto"))
+    length = F.col("upto") - F.col("from")
+    equal = F.zip_with(F.slice("h", F.col("from") + 1, length), F.slice("ih", F.col("from") - F.col("at") + 1, length), lambda x, y: F.when(x == y, 1).otherwise(0))
+    needed = F.least(F.size("ih"), F.lit(WINDOW))
+    # an overlap shorter than the window, or than a shorter item, can't count
+    scored = laid.where(length >= needed).select("doc_id", "item_id", "at", equal.alias("equal"), F.size("ih").alias("n_item"), needed.alias("needed"))
+    good = scored.where(_best_stretch(F.col("equal"), F.size("equal")) * 100 >= F.col("needed") * AGREE)
+    found = good.select("doc_id", "item_id", "n_item", "at", F.aggregate("equal", F.lit(0), lambda s, x: s + x).alias("n_equal"))
     best = F.max(F.struct("n_equal", (-F.col("at")).alias("back"), "n_item")).alias("best")
     out = found.groupBy("doc_id", "item_id").agg(best)
     return out.select("doc_id", "item_id", F.col("best.n_equal").cast("long").alias("n_equal"), F.col("best.n_item").cast("long").alias("n_item"), (-F.col("best.back")).cast("long").alias("at"))
