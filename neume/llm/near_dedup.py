@@ -23,7 +23,7 @@ null and empty texts have the empty set).  Documents are linked if 100 * |A & B|
    share one of them are paired if the places it has in both leave room for the overlap that is needed.  What may be
    similar is checked in the same way as before, so no link that a band shows is lost because the pivot didn't show it.
 
-A class is a node of its own: classes are numbered when they are written.  Where one doc_id has several texts,
+A class is a node of its own: classes are numbered when they are written, by their smallest doc_id.  Where one doc_id has several texts,
 their classes are tied.
 """
 
@@ -53,8 +53,8 @@ FEW = 64
 MOST_DIFFERENT = 90
 #: Sets up to this size are compared in full where pairs are found; larger ones by registers there, and in full after.
 SMALL_SET = 400
-#: Groups with more open members than this aren't compared two by two but by their sets' rarest shingles.
-GROUP = 1000
+#: Groups with more open members than this are not compared two by two but by the rarest shingles of their sets.
+GROUP = 16
 #: A list of so many ids is broadcast at most (16 MB); a longer one is joined by a shuffle.
 BROADCAST_IDS = 2_000_000
 
@@ -255,10 +255,12 @@ def _ties(signed: DataFrame, classes: DataFrame) -> DataFrame:
 def _pairs_by_prefix(members: DataFrame, sets: DataFrame) -> DataFrame:
     """(a, b): pairs of ``members`` (node, n, component) of unequal components that may be similar, none missing.
 
-    Of two sets with 100 * |A & B| >= THRESHOLD * |A | B| the overlap is at least THRESHOLD per cent of either, so
-    each shares one of its first n - ceil(n * THRESHOLD / 100) + 1 shingles in any common order with the other's.
-    The order is from rare to frequent among ``sets``.  Of the first one they share, at places i and j, the overlap
-    is at most 1 + min(n - i, m - j).
+    A set of n shingles and one of m <= n that meet the threshold t have at least t * n in common, and at least
+    2t / (1 + t) * m; so in any common order one of the first n - t * n + 1 of the larger is among the first
+    m - 2t / (1 + t) * m + 1 of the smaller.  The order is from rare to frequent among ``sets``: what a set has to itself
+    comes first and meets nothing.  Of the first one they share, at places i and j from 0, the overlap is at
+    most min(n - i, m - j).  The pairs that are looked at are as many as, over those shingles, sets that hold one
+    times sets that hold it so early.
     """
     shingles = sets.select("node", F.explode("members").alias("shingle"))
     spread = shingles.groupBy("shingle").agg(F.count(F.lit(1)).alias("spread"))
@@ -268,10 +270,12 @@ def _pairs_by_prefix(members: DataFrame, sets: DataFrame) -> DataFrame:
     placed = ranked.join(members, "node").select("node", "n", "component", F.posexplode(first).alias("i", "r"))
     rows = materialize(placed.select(F.col("r.shingle").alias("shingle"), "node", "n", "component", "i").where(F.col("r.spread") > 1), "prefixes")
     side = lambda x: rows.select("shingle", *(F.col(c).alias(f"{c}_{x}") for c in ("node", "n", "component", "i")))
-    met = side("a").join(side("b"), "shingle").where("node_a < node_b and component_a <> component_b").where(_sizes_allow(F.col("n_a"), F.col("n_b")))
+    early = side("b").where(F.col("i_b") <= F.col("n_b") - F.ceil(F.col("n_b") * F.lit(2 * THRESHOLD) / (100 + THRESHOLD)))
+    smaller = (F.col("n_b") < F.col("n_a")) | ((F.col("n_b") == F.col("n_a")) & (F.col("node_b") < F.col("node_a")))
+    met = side("a").join(early, "shingle").where(smaller & (F.col("component_a") != F.col("component_b"))).where(_sizes_allow(F.col("n_a"), F.col("n_b")))
     room = F.least(F.col("n_a") - F.col("i_a"), F.col("n_b") - F.col("i_b"))
     met = met.where(room * (100 + THRESHOLD) >= (F.col("n_a") + F.col("n_b")) * THRESHOLD)
-    return met.select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
+    return met.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b"))
 
 
 def _pairs_by_groups(open_rows: DataFrame, classes: DataFrame, texts: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
@@ -308,8 +312,9 @@ def near_duplicates(docs: DataFrame, group: int = GROUP) -> DataFrame:
     signed = materialize(rows.mapInPandas(_sketches, "doc_id long, n long, digest binary, regs binary"), "sketches")
     usable = signed.where("digest is not null and doc_id is not null")
     one = usable.groupBy("digest").agg(F.min(F.struct(F.col("doc_id").alias("first"), "n", "regs")).alias("s"))
-    # numbered as they are written: the numbers mean nothing but that no two classes share one
-    classes = materialize(one.select("digest", "s.*").withColumn("node", F.monotonically_increasing_id()), "classes")
+    # numbered as they are written, in the order of their first document: the oldest, which others were copied from, is
+    # then the pivot of its groups
+    classes = materialize(one.select("digest", "s.*").orderBy("first", "digest").withColumn("node", F.monotonically_increasing_id()), "classes")
     ties = _ties(signed, classes)
 
     bands = classes.select("node", "n", "regs").mapInPandas(_bands, "key long, node long, n long")

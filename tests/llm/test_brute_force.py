@@ -291,7 +291,7 @@ def test_near_dedup_in_crowded_groups(spark):
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     expected = _components({i: _shingles(t) for i, t in enumerate(texts)})
     assert 1 < len(set(expected.values())) < 150
-    for group in (2, 1000):
+    for group in (2, near_dedup.GROUP):
         assert {r.doc_id: r.component_id for r in near_dedup.near_duplicates(df, group).collect()} == expected
 
 
