@@ -73,31 +73,75 @@ def assemble(tokens: DataFrame) -> DataFrame:
     )
 
 
-def plan_cells(tokens: DataFrame) -> DataFrame:
-    """(doc_id, measure_index, reasons): measures whose page and row readings give reason to read the cell itself.
+def plan_cells(evidence: DataFrame, low_confidence: float = 0.5) -> DataFrame:
+    """(doc_id, measure_index, reasons): measures whose readings give reason to read the cell itself.
 
-    ``tokens``: doc_id, measure_index, source (page or row), text_norm, confidence.
+    ``evidence``: doc_id, measure_index, kind (chord, suffix, chord_like or repeat), source (page, row or other),
+    text_norm, confidence.  A measure without a chord is read again only for fragments that look like one.  A chord
+    whose parts can't be told has no part in the comparison of parts.
     """
-    page, row = F.col("source") == "page", F.col("source") == "row"
+    kind, chord = F.col("kind"), F.col("kind") == "chord"
     texts = lambda who: F.array_sort(F.collect_set(F.when(who, F.col("text_norm"))))
-    g = tokens.groupBy(*MEASURE).agg(
-        texts(page).alias("p"), texts(row).alias("r"), F.min("confidence").alias("low"), F.max(C.root_only(F.col("text_norm")).cast("int")).alias("bare"),
-        F.max(C.high_risk(F.col("text_norm")).cast("int")).alias("risky"), F.count_distinct(C.chord_root(F.col("text_norm"))).alias("roots"),
+    any_of = lambda which: F.max(F.coalesce(which, F.lit(False)).cast("int"))
+    p = F.col("parsed")
+    parts = F.to_json(F.struct(p["root"].alias("root"), p["accidental"].alias("accidental"), p["quality"].alias("quality"), p["extensions"].alias("extensions"), p["alterations"].alias("alterations"), p["bass"].alias("bass")))
+    plain = p["quality"].isin("major", "minor") & (F.size(p["extensions"]) == 0) & (F.size(p["alterations"]) == 0) & p["bass"].isNull()
+    rows = evidence.withColumn("parsed", F.when(chord, C.parse_chord(F.col("text_norm")))).withColumn("parts", F.when(p.isNotNull(), parts))
+    g = rows.groupBy(*MEASURE).agg(
+        any_of(chord).alias("chords"), texts(chord & (F.col("source") == "page")).alias("page"), texts(chord & (F.col("source") == "row")).alias("row"), texts(chord).alias("all"),
+        F.min(F.when(chord, F.coalesce("confidence", F.lit(0.0)))).alias("low"), any_of(chord & plain).alias("plain"), F.min("parts").alias("first"), F.max("parts").alias("last"),
+        any_of(kind == "suffix").alias("suffix"), any_of(kind == "chord_like").alias("like"), any_of(kind == "repeat").alias("repeats"),
     )
-    both = (F.size("p") > 0) & (F.size("r") > 0)
-    differ = both & (F.col("p") != F.col("r"))
-    contained = both & F.exists("p", lambda a: F.exists("r", lambda b: (F.length(a) != F.length(b)) & (F.contains(a, b) | F.contains(b, a))))
+    has = F.col("chords") == 1
+    contained = F.exists("all", lambda a: F.exists("all", lambda b: (F.length(a) < F.length(b)) & F.contains(b, a)))
     rules = [
-        (differ, "page_row_disagreement"),
-        (contained, "contained_shorter_longer_chord"),
-        (F.col("low") < 0.5, "low_confidence"),
-        ((F.col("bare") == 1) & differ, "root_only_reading"),
-        (F.col("risky") == 1, "high_risk_text"),
-        (differ & (F.col("roots") > 1), "root_disagreement"),
+        (~has & ((F.col("suffix") == 1) | (F.col("like") == 1)), "no_chord_but_fragments"),
+        (has & (F.size("page") > 0) & (F.size("row") > 0) & (F.col("page") != F.col("row")), "page_row_disagreement"),
+        (has & (F.col("low") < low_confidence), "low_confidence"),
+        (has & (F.col("plain") == 1), "plain_major_or_minor"),
+        (has & contained, "shorter_in_longer_chord"),
+        (has & (F.col("first") != F.col("last")), "parts_disagree"),
+        (has & (F.col("suffix") == 1), "suffix_near_chord"),
+        (has & (F.col("repeats") == 1), "repeat_with_chord"),
     ]
     return g.withColumn("reasons", all_reasons(rules)).where(F.size("reasons") > 0).select(*MEASURE, "reasons")
 
 
+def largest_text(rows: DataFrame, keys: list[str], text: str, height: str, order: list[str]) -> DataFrame:
+    """Per key the text with the greatest height per character (empty texts count 0), the first in ``order`` on ties."""
+    score = F.when(F.length(text) > 0, F.col(height) / F.length(text)).otherwise(F.lit(0.0))
+    best = F.min(F.struct((-score).alias("score"), *order, F.col(text).alias("text")))
+    return rows.groupBy(*keys).agg(best.alias("b")).select(*keys, F.col("b.text").alias(text))
+
+
+def numbered_endings(rows: DataFrame, keys: list[str], order: list[str], bracket: str, number: str) -> DataFrame:
+    """``rows`` where each with a bracket but no ``number`` gets its place among the bracketed ones of its key."""
+    place = F.row_number().over(Window.partitionBy(*keys, bracket).orderBy(*order))
+    return rows.withColumn(number, F.when(F.col(bracket), F.coalesce(F.col(number), place)).otherwise(F.col(number)))
+
+
+def marker_numbers(markers: DataFrame, measures: DataFrame, score: DataFrame, keys: list[str]) -> DataFrame:
+    """``markers`` (keys, start, end) with the score's numbers of the measures they stand on; those without go.
+
+    ``measures``: keys, index, number; ``score``: keys, number, the measures that there are.
+    """
+    able = measures.join(score, [*keys, "number"], "left_semi")
+    at = lambda end: able.select(*keys, F.col("index").alias(end), F.col("number").alias(f"{end}_number"))
+    return markers.join(at("start"), [*keys, "start"]).join(at("end"), [*keys, "end"])
+
+
+def estimated_measures(systems: DataFrame, barlines: DataFrame, keys: list[str]) -> DataFrame:
+    """``systems`` (keys, system, x0, y0, y1) with ``measures``: the intervals between the barlines that reach into the
+    system, ones closer than 2 merged, and one more for a wide lead.  ``barlines``: keys, x, top, bottom."""
+    met = systems.join(barlines, keys, "left").where("top is null or (top <= y1 and bottom >= y0)")
+    lines = met.groupBy(*keys, "system").agg(F.max("x0").alias("x0"), folds.merge_close(F.collect_list("x"), 2.0).alias("xs"))
+    gaps = F.array_sort(F.filter(F.transform(F.sequence(F.lit(1), F.size("xs") - 1), lambda i: F.get("xs", i) - F.get("xs", i - 1)), lambda d: d > 0))
+    middle = F.coalesce(F.get(gaps, F.floor(F.size(gaps) / 2).cast("int")), F.lit(0.0))
+    lead = (F.get("xs", F.lit(0)) - F.col("x0") >= F.greatest(F.lit(24.0), middle * 0.25)).cast("int")
+    found = lines.select(*keys, "system", F.when(F.size("xs") < 2, 0).otherwise(F.size("xs") - 1 + lead).alias("measures"))
+    return systems.join(found, [*keys, "system"], "left").fillna(0, ["measures"])
+
+
 def several_chords(cells: DataFrame) -> DataFrame:
     """Cells likely to hold several chords: a wide token, centres far apart, or something well in the right half.
 

@@ -133,6 +133,11 @@ def same_place(iou: float = 2.0, overlap: float = 2.0, centers: float = -1.0) ->
     return lambda a, b: _iou(a, b) >= iou or _overlap(a, b) >= overlap or _apart(a, b) <= centers
 
 
+def near_place(iou: float, reach: float) -> Callable[[Box, Box], bool]:
+    """Whether two boxes are one thing: by intersection over union, or by centres no further apart than ``reach`` either way."""
+    return lambda a, b: _iou(a, b) >= iou or max(abs(a[0] + a[2] - b[0] - b[2]), abs(a[1] + a[3] - b[1] - b[3])) <= 2 * reach
+
+
 class Group:
     """An open group: its rows' values or boxes, and what a new row is compared with."""
 
@@ -181,6 +186,29 @@ def greedy_groups(rows: DataFrame, keys: Sequence[str], order: Sequence[str], va
     return rows.groupBy(*keys).applyInPandas(run, schema)
 
 
+def merge_readings(rows: DataFrame, keys: Sequence[str], order: Sequence[str], value: Sequence[str], matches: Callable[[object, object], bool], text: str, confidence: str, carry: str) -> DataFrame:
+    """One greedy pass in ``order``: a row with the text of an earlier representative that it matches is dropped, or takes
+    its place if it is more confident (a missing confidence is 0), with the representative's ``carry`` where its own is
+    null.  A later row is compared with the representatives as they are then."""
+
+    def run(page: pd.DataFrame) -> pd.DataFrame:
+        page = page.sort_values(list(order), kind="stable").reset_index(drop=True)
+        boxes = list(page[list(value)].astype(float).itertuples(index=False, name=None))
+        texts, sure, carried = list(page[text]), page[confidence].fillna(0.0).tolist(), list(page[carry])
+        stands: list[int] = []
+        for i in range(len(page)):
+            at = next((k for k, j in enumerate(stands) if texts[j] == texts[i] and matches(boxes[j], boxes[i])), None)
+            if at is None:
+                stands.append(i)
+            elif sure[i] > sure[stands[at]]:
+                if pd.isna(carried[i]):
+                    carried[i] = carried[stands[at]]
+                stands[at] = i
+        return page.assign(**{carry: pd.array(carried, dtype="Int64")}).iloc[stands]
+
+    return rows.groupBy(*keys).applyInPandas(run, rows.schema)
+
+
 def suppress(rows: DataFrame, keys: Sequence[str], order: Sequence[str], value: Sequence[str], matches: Callable[[object, object], bool], same: Sequence[str] = (), ascending: Sequence[bool] | None = None) -> DataFrame:
     """Greedy non-maximum suppression: in ``order``, a row stays unless it matches one that stayed."""
 

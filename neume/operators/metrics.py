@@ -27,6 +27,42 @@ def vocabulary(symbols: DataFrame) -> DataFrame:
     return named.withColumn("code", F.row_number().over(Window.orderBy("symbol")) - 1)
 
 
+#: Distinct symbols that a pair may have: so many characters lie between the controls and the surrogates.
+MOST_SYMBOLS = 55_000
+
+
+def coded_pair(a: Column, b: Column) -> Column:
+    """struct(a, b): two symbol arrays as strings of one character per symbol, equal where the symbols are.
+
+    Symbols are numbered within the pair, so no vocabulary is gathered; more than ``MOST_SYMBOLS`` in one pair is
+    an error.  Null symbols are symbols; a null array gives null.
+    """
+    filled = lambda x: F.transform(x, lambda v: F.coalesce(v, F.lit("\0")))
+
+    def build(known: Column) -> Column:
+        code = lambda v: F.array_position(known, v) + 255
+        text = lambda x: F.decode(F.unhex(F.array_join(F.transform(filled(x), lambda v: F.lpad(F.hex(code(v)), 4, "0")), "")), "UTF-16BE")
+        fits = F.size(known) <= MOST_SYMBOLS
+        return F.when(fits, F.struct(text(a).alias("a"), text(b).alias("b"))).otherwise(F.raise_error(F.lit("too many symbols in a pair")).cast("struct<a:string,b:string>"))
+
+    both = F.array_distinct(F.concat(filled(a), filled(b)))
+    return F.get(F.transform(F.array(both), build), 0)
+
+
+def symbol_distance(a: Column, b: Column) -> Column:
+    """Unit-cost edit distance of two symbol arrays."""
+    return F.get(F.transform(F.array(coded_pair(a, b)), lambda p: F.levenshtein(p["a"], p["b"])), 0)
+
+
+#: What a wrong key counts beside a wrong note (fixed value).
+KEY_WEIGHT = 10
+
+
+def rated_difference(keys: Column, notes: Column, other_keys: Column, other_notes: Column) -> Column:
+    """The distance of the notes, and ten times that of the keys."""
+    return symbol_distance(keys, other_keys) * KEY_WEIGHT + symbol_distance(notes, other_notes)
+
+
 def error_rates(pairs: DataFrame, by: Sequence[str], distance: Column, length: Column) -> DataFrame:
     """Per group: the micro rate (sum of distances over sum of lengths) and the macro rate (mean of the rates)."""
     d, n = distance.cast("double"), length.cast("double")

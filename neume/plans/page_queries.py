@@ -74,20 +74,6 @@ def semantic_assembly(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assembly.assemble(rows).select("measure_index", "root_seq", "text", "x0", "y0", "x1", "y1", "confidence", "status")
 
 
-def selective_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Which cells to read again, and why."""
-    t = [("d", 1, "page", "G7b9", 0.7), ("d", 1, "row", "G7", 0.92), ("d", 2, "page", "C7", 0.9), ("d", 2, "row", "C7", 0.93), ("d", 3, "page", "F", 0.4), ("d", 3, "row", "Bb7", 0.9), ("d", 4, "page", "C19", 0.8)]
-    rows = spark.createDataFrame(t, "doc_id string, measure_index int, source string, text_norm string, confidence double")
-    return assembly.plan_cells(rows).select("measure_index", F.array_join("reasons", ",").alias("reasons"))
-
-
-def candidate_adjudication(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Decisions over groups of candidates from two recognisers."""
-    t = [("a", "addition", "Cmaj7", "C", 0.79, False), ("b", "baseline", "C19", "C", 0.61, True), ("b", "replacement", "C7#9", "C", 0.99, False), ("c", "baseline", "D7", "D", 0.8, False), ("c", "replacement", "G7", "G", 0.9, False), ("d", "suppressed", "A7", "A", 0.9, False), ("e", "baseline", "F1", "F", 0.0, True), ("e", "replacement", "F7", "F", 0.9, False)]
-    rows = spark.createDataFrame([("x", *r) for r in t], "doc_id string, group_id string, source string, text_norm string, root string, confidence double, suspicious boolean")
-    return adjudication.group_decisions(rows).select("group_id", "decision", "reason", "text")
-
-
 def word_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of every document with boxes in proportion to their characters: extents per document."""
     d = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("doc_id"), F.lit(1).alias("seq"), F.regexp_replace("text", r"\s+", " ").alias("text"))
@@ -133,12 +119,6 @@ def windowed_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jobs.windowed_counts(e, "ts", "event_type").select(F.date_format("start", "yyyy-MM-dd HH:mm").alias("start"), "event_type", "n")
 
 
-def fallback_policy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per nation, whether its suppliers' readings (accepted: positive balance) call for reading the whole page."""
-    s = table(spark, sf_dir, "supplier").groupBy("s_nationkey").agg(F.sum((F.col("s_acctbal") > 4000).cast("int")).alias("ok"), F.sum((F.col("s_acctbal") <= 4000).cast("int")).alias("bad"), F.sum((F.col("s_acctbal") < 0).cast("int")).alias("empty"))
-    return s.select("s_nationkey", adjudication.fallback_reason(F.col("ok"), F.col("bad"), F.col("ok") + F.col("bad"), F.col("empty")).alias("reason"))
-
-
 def polygon_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Corner-in-polygon overlap; the plus sign has no corner inside."""
     poly = lambda *pts: [(float(x), float(y)) for x, y in pts]
@@ -175,7 +155,7 @@ def circled_letters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return notation.circled_marks(toks, _boxed(spark, [(1, (5.0, 5.0, 25.0, 25.0)), (2, (20.0, 0.0, 90.0, 30.0)), (3, (85.0, 5.0, 105.0, 25.0))])).drop("doc_id")
 
 
-QUERIES = {f.__name__: f for f in (polygon_overlaps, stems_of_heads, heads_of_staffs, braced_staffs, circled_letters, measure_assignment, page_payload, geometry_check, token_rows, candidate_resolution, candidate_dictionary, semantic_assembly, selective_plan, candidate_adjudication, word_offsets, root_letter_boxes, upload_checks, svg_scan, status_fallback, stream_status_replay, windowed_counts, fallback_policy)}
+QUERIES = {f.__name__: f for f in (polygon_overlaps, stems_of_heads, heads_of_staffs, braced_staffs, circled_letters, measure_assignment, page_payload, geometry_check, token_rows, candidate_resolution, candidate_dictionary, semantic_assembly, word_offsets, root_letter_boxes, upload_checks, svg_scan, status_fallback, stream_status_replay, windowed_counts)}
 
 _ASSIGNED = [(1, 1, 1, 32.0, 132.0, 2), (2, 1, 2, 132.0, 232.0, 2), (3, 1, 3, 232.0, 332.0, 3), (4, 1, 1, 32.0, 132.0, 4), (5, 2, 4, 20.0, 132.0, 2), (6, 2, 6, 232.0, 332.0, 4)]
 ORACLE = {
@@ -191,8 +171,6 @@ ORACLE = {
     "candidate_resolution": values_sql(["text_raw", "text", "accepted"], _READINGS),
     "candidate_dictionary": values_sql(["root", "n"], [(r + a, 40) for r in "ABCDEFG" for a in ("", "b", "#")]),
     "semantic_assembly": values_sql(["measure_index", "root_seq", "text", "x0", "y0", "x1", "y1", "confidence", "status"], [(1, 1, "Bb6", 10.0, 8.0, 55.0, 42.0, 0.7, "accepted"), (1, 4, "G7", 210.0, 10.0, 270.0, 40.0, 0.6, "accepted"), (2, 7, "C", 300.0, 10.0, 320.0, 40.0, 0.9, "rejected")]),
-    "selective_plan": values_sql(["measure_index", "reasons"], [(1, "page_row_disagreement,contained_shorter_longer_chord"), (3, "page_row_disagreement,low_confidence,root_only_reading,root_disagreement"), (4, "high_risk_text")]),
-    "candidate_adjudication": values_sql(["group_id", "decision", "reason", "text"], [("a", "auto", "addition_without_baseline", "Cmaj7"), ("b", "auto", "same_root_replaces_suspicious", "C7#9"), ("c", "review", "root_disagreement", "D7"), ("d", "ignore", "suppressed_only", None), ("e", "review", "replacement_unclear", "F1")]),
     "word_offsets": """WITH w AS (SELECT doc_id::VARCHAR AS doc_id, string_split(trim(regexp_replace(text, '\\s+', ' ', 'g')), ' ') AS w FROM documents),
 p AS (SELECT doc_id, unnest(w) AS x, generate_subscripts(w, 1) AS i FROM w), o AS (SELECT *, coalesce(sum(length(x) + 1) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS a FROM p)
 SELECT doc_id, count(*) AS n_words, round(max(a + length(x))::DOUBLE, 3) AS "right", round(sum(a)::DOUBLE, 1) AS total FROM o GROUP BY 1""",
@@ -204,6 +182,4 @@ SELECT doc_id, part::INT AS part, upper(c) AS root, round(part * (60.0::DOUBLE /
 SELECT c_custkey::VARCHAR AS job_id, coalesce(s, CASE WHEN f THEN 'completed' WHEN f IS NOT NULL THEN 'processing' ELSE 'not_found' END) AS status FROM customer LEFT JOIN r ON user_id = c_custkey LEFT JOIN a ON o_custkey = c_custkey""",
     "stream_status_replay": "SELECT user_id, max(event_id) AS event_id, arg_max(event_type, event_id) AS status FROM events GROUP BY 1",
     "windowed_counts": "SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M') AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2",
-    "fallback_policy": """WITH s AS (SELECT s_nationkey, sum((s_acctbal > 4000)::INT) AS ok, sum((s_acctbal <= 4000)::INT) AS bad, sum((s_acctbal < 0)::INT) AS e, count(*) AS n FROM supplier GROUP BY 1)
-SELECT s_nationkey, CASE WHEN ok = 0 THEN 'no_chords' WHEN e / n >= 0.5 THEN 'empty_systems' WHEN ok / n < 0.25 THEN 'few_accepted' WHEN bad / n > 0.2 AND e > 0 THEN 'uncertain_and_empty' END AS reason FROM s""",
 }
