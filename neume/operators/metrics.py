@@ -9,22 +9,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def coded(sequences: DataFrame, key: Sequence[str], symbols: str, vocabulary: DataFrame, out: str) -> DataFrame:
-    """Symbol arrays as strings of one character per symbol, so that ``levenshtein`` counts symbols.
-
-    ``vocabulary`` (symbol, code): codes from 0, fewer than 55,000 of them.  Characters start above the
-    controls and skip surrogates.
-    """
-    each = sequences.select(*key, F.posexplode_outer(symbols).alias("_p", "symbol")).join(vocabulary, "symbol", "left")
-    code = F.col("code") + 256
-    text = F.decode(F.concat(F.unhex(F.lpad(F.hex(code), 4, "0"))), "UTF-16BE")
-    return each.groupBy(*key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("_p").isNotNull() & F.col("code").isNotNull(), F.struct("_p", text.alias("c"))))), lambda x: x["c"]), "").alias(out))
-
-
-def vocabulary(symbols: DataFrame) -> DataFrame:
-    """(symbol, code) over the distinct values of the one column of ``symbols``."""
-    named = symbols.toDF("symbol").where("symbol is not null").distinct()
-    return named.withColumn("code", F.row_number().over(Window.orderBy("symbol")) - 1)
+def usual_rows(rows: DataFrame, keys: Sequence[str], value: str, deviations: float = 3.0) -> DataFrame:
+    """``rows`` within so many population deviations of their key's mean; the statistics are aggregated and joined back,
+    so that no key's rows meet in one task."""
+    spread = rows.groupBy(*keys).agg(F.avg(value).alias("_mean"), F.stddev_pop(value).alias("_deviation"))
+    return rows.join(spread, list(keys)).where(F.abs(F.col(value) - F.col("_mean")) <= deviations * F.col("_deviation")).drop("_mean", "_deviation")
 
 
 #: Distinct symbols that a pair may have: so many characters lie between the controls and the surrogates.

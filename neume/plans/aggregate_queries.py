@@ -136,13 +136,18 @@ def quota_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def symbol_error_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Word-level edit distance of each turn's first line to the next turn's, as micro and macro error rate by role."""
-    t = table(spark, sf_dir, "conversations").withColumn("words", F.split(F.element_at(F.split(F.lower("text"), "\n"), 1), " "))
-    vocab = metrics.vocabulary(t.select(F.explode("words")))
-    coded = metrics.coded(t.select("conv_id", "turn", "words"), ["conv_id", "turn"], "words", vocab, "code")
-    nxt = coded.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("code").alias("next_code"))
-    pairs = coded.join(nxt, ["conv_id", "turn"]).join(t.select("conv_id", "turn", "role"), ["conv_id", "turn"])
-    return metrics.error_rates(pairs, ["role"], F.levenshtein("code", "next_code"), F.length("code"))
+    """Word-level edit distance of each turn's whole text to the next turn's, as micro and macro error rate by role."""
+    t = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", F.split(F.lower("text"), "[ \n]+").alias("words"))
+    nxt = t.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("words").alias("next_words"))
+    pairs = t.join(nxt, ["conv_id", "turn"]).withColumn("distance", metrics.symbol_distance(F.col("words"), F.col("next_words")))
+    return metrics.error_rates(pairs, ["role"], F.col("distance"), F.size("words"))
+
+
+def unusual_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many line items of a supplier lie over three population deviations from its mean price."""
+    li = table(spark, sf_dir, "lineitem")
+    kept = metrics.usual_rows(li, ["l_suppkey"], "l_extendedprice").groupBy("l_suppkey").agg(F.count(F.lit(1)).alias("kept"))
+    return li.groupBy("l_suppkey").agg(F.count(F.lit(1)).alias("n")).join(kept, "l_suppkey").select("l_suppkey", (F.col("n") - F.col("kept")).alias("n_out"))
 
 
 def adjudicate_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -183,7 +188,7 @@ def validation_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return place.select("doc_id", (F.col("r") <= F.floor(F.col("n") / 10)).alias("validation"))
 
 
-QUERIES = {f.__name__: f for f in (medians, common_division, outlier_3sigma, edge_of_vision, noise_grid, filter_with_reason, dict_anti_semi, histogram_sets, having_two, evidence_sets, containment_pair, argmax_scored, two_level_duration, flag_ratio, branch_accuracy, iou_micro_image, quota_mix, symbol_error_rate, adjudicate_groups, confusion_counts, set_operations, validation_split)}
+QUERIES = {f.__name__: f for f in (medians, common_division, outlier_3sigma, edge_of_vision, noise_grid, filter_with_reason, dict_anti_semi, histogram_sets, having_two, evidence_sets, containment_pair, argmax_scored, two_level_duration, flag_ratio, branch_accuracy, iou_micro_image, quota_mix, symbol_error_rate, unusual_anchors, adjudicate_groups, confusion_counts, set_operations, validation_split)}
 
 ORACLE = {
     "medians": "SELECT l_returnflag, median(l_extendedprice) AS middle, list_sort(list(l_extendedprice))[(count(*) // 2) + 1] AS upper FROM lineitem GROUP BY 1",
@@ -227,9 +232,9 @@ SELECT lang, round(tp / (tp + fn), 6) AS recall, round(2 * tp / (2 * tp + fp + f
 SELECT 'union' AS op, count(*) AS n, sum(k)::BIGINT AS total FROM (SELECT k FROM a UNION SELECT k FROM b) UNION ALL SELECT 'intersect', count(*), sum(k)::BIGINT FROM (SELECT k FROM a INTERSECT SELECT k FROM b)
 UNION ALL SELECT 'except', count(*), sum(k)::BIGINT FROM (SELECT k FROM b EXCEPT SELECT k FROM a)""",
     "validation_split": """WITH r AS (SELECT doc_id, row_number() OVER (PARTITION BY source ORDER BY sha256('17:' || doc_id)) AS r, count(*) OVER (PARTITION BY source) AS n FROM documents) SELECT doc_id, r <= n // 10 AS validation FROM r""",
-    "symbol_error_rate": """WITH RECURSIVE t AS (SELECT conv_id, turn, role, string_split(string_split(lower(text), chr(10))[1], ' ') AS w FROM conversations),
-v AS (SELECT s, row_number() OVER (ORDER BY s) AS c FROM (SELECT DISTINCT unnest(w) AS s FROM t)),
-x AS (SELECT conv_id, turn, string_agg(chr((c + CASE WHEN c + 1000 >= 55296 THEN 10000 ELSE 1000 END)::INT), '' ORDER BY p) AS code, count(*) AS n FROM (SELECT conv_id, turn, unnest(w) AS s, generate_subscripts(w, 1) AS p FROM t) JOIN v USING (s) GROUP BY 1, 2),
+    "unusual_anchors": """WITH s AS (SELECT l_suppkey AS k, avg(l_extendedprice) AS m, stddev_pop(l_extendedprice) AS d FROM lineitem GROUP BY 1)
+SELECT l_suppkey, count(*) FILTER (abs(l_extendedprice - m) > 3 * d) AS n_out FROM lineitem JOIN s ON k = l_suppkey GROUP BY 1""",
+    "symbol_error_rate": """WITH RECURSIVE t AS (SELECT conv_id, turn, role, string_split_regex(lower(text), '[ \n]+') AS w FROM conversations),
 letters AS (SELECT conv_id, turn, w FROM t),
 pairs AS (SELECT a.conv_id, a.turn, a.w AS a, b.w AS b FROM letters a JOIN letters b ON b.conv_id = a.conv_id AND b.turn = a.turn + 1),
 dp AS (

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from neume.plans import aggregate_queries, chart_queries, decision_queries, fold_queries, music_queries, page_queries, sequence_queries, spatial_queries
+from neume.plans import aggregate_queries, chart_queries, decision_queries, fold_queries, music_queries, page_queries, reading_queries, sequence_queries, spatial_queries
 
-MODULES = [spatial_queries, sequence_queries, aggregate_queries, fold_queries, music_queries, page_queries, chart_queries, decision_queries]
+MODULES = [spatial_queries, sequence_queries, aggregate_queries, fold_queries, music_queries, page_queries, chart_queries, decision_queries, reading_queries]
 
 
 def queries() -> dict[str, Callable]:
