@@ -252,32 +252,80 @@ def _ties(signed: DataFrame, classes: DataFrame) -> DataFrame:
     return materialize(own.join(low, "doc_id").where("node <> a").select("a", F.col("node").alias("b")), "ties")
 
 
-def _pairs_by_prefix(members: DataFrame, sets: DataFrame) -> DataFrame:
+#: Cells that shingles are counted in, to tell rare from frequent ones: 2 MB, whatever the input.
+CELLS = 1 << 18
+
+
+def _spread(sets: DataFrame) -> np.ndarray:
+    """How many shingles of the sets fall into each cell."""
+    cell = sets.select(F.explode(F.transform("members", lambda m: m.bitwiseAND(F.lit(CELLS - 1)))).alias("cell"))
+    found = cell.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).toPandas()  # ``CELLS`` rows at most
+    out = np.zeros(CELLS, np.int64)
+    out[found.cell.to_numpy()] = found.n.to_numpy()
+    return out
+
+
+def _first_rare(members: np.ndarray, spread: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(shingles, places) of a set's prefix in the order from rare to frequent cells, without those it has to itself."""
+    often = spread[members & (CELLS - 1)]
+    n = len(members)
+    order = np.lexsort((members, often))[: n - -(-n * THRESHOLD // 100) + 1]
+    place = np.flatnonzero(often[order] > 1)
+    return members[order[place]], place
+
+
+_PREFIX = "shingle long, node long, n long, component long, i int, members array<int>, lost int, " + ", ".join(f"{w} long" for w in WORDS)
+
+
+def _pairs_by_prefix(members: DataFrame, sets: DataFrame, classes: DataFrame) -> DataFrame:
     """(a, b): pairs of ``members`` (node, n, component) of unequal components that may be similar, none missing.
 
     A set of n shingles and one of m <= n that meet the threshold t have at least t * n in common, and at least
     2t / (1 + t) * m; so in any common order one of the first n - t * n + 1 of the larger is among the first
-    m - 2t / (1 + t) * m + 1 of the smaller.  The order is from rare to frequent among ``sets``: what a set has to itself
-    comes first and meets nothing.  Of the first one they share, at places i and j from 0, the overlap is at
-    most min(n - i, m - j).  The pairs that are looked at are as many as, over those shingles, sets that hold one
-    times sets that hold it so early.
+    m - 2t / (1 + t) * m + 1 of the smaller.  The order is from rare to frequent, as counted by cells over ``sets``:
+    what a set has to itself comes first and meets nothing.  Of the first one they share, at places i and j from 0,
+    the overlap is at most min(n - i, m - j).  The pairs that are looked at are as many as, over those shingles, sets that
+    hold one times sets that hold it so early; what these bounds leave is compared within the join, small sets
+    by themselves and large ones by their registers.
     """
-    shingles = sets.select("node", F.explode("members").alias("shingle"))
-    spread = shingles.groupBy("shingle").agg(F.count(F.lit(1)).alias("spread"))
-    ranked = shingles.join(spread, "shingle").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("spread", "shingle"))).alias("ranked"))  # a set's own size
-    size = F.size("ranked")
-    first = F.slice("ranked", 1, (size - F.ceil(size * F.lit(THRESHOLD) / 100) + 1).cast("int"))
-    placed = ranked.join(members, "node").select("node", "n", "component", F.posexplode(first).alias("i", "r"))
-    rows = materialize(placed.select(F.col("r.shingle").alias("shingle"), "node", "n", "component", "i").where(F.col("r.spread") > 1), "prefixes")
-    side = lambda x: rows.select("shingle", *(F.col(c).alias(f"{c}_{x}") for c in ("node", "n", "component", "i")))
+    spread = _spread(sets)
+
+    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for r in batch.itertuples(index=False):
+                own = np.asarray(r.members, np.int64)
+                shingles, places = _first_rare(own, spread)
+                if not len(shingles):
+                    continue
+                out = pd.DataFrame({"shingle": shingles, "node": r.node, "n": r.n, "component": r.component, "i": places.astype(np.int32)})
+                if len(own) <= SMALL_SET:
+                    cut = np.unique(own & 0x7FFFFFFF).astype(np.int32)
+                    out["members"], out["lost"], words = [cut] * len(out), np.int32(len(own) - len(cut)), [None] * len(WORDS)
+                else:
+                    words = short_sketches(np.frombuffer(r.regs, np.uint16)[None])[0].tolist()
+                    out["members"], out["lost"] = None, None
+                yield out.assign(**dict(zip(WORDS, words, strict=True))).astype({"lost": "Int32"} | dict.fromkeys(WORDS, "Int64"))
+
+    given = sets.join(members, "node").join(classes.select("node", "regs"), "node")
+    rows = materialize(given.mapInPandas(place, _PREFIX), "prefixes")
+    side = lambda x: rows.select("shingle", *(F.col(c).alias(f"{c}_{x}") for c in ("node", "n", "component", "i", "members", "lost", *WORDS)))
     early = side("b").where(F.col("i_b") <= F.col("n_b") - F.ceil(F.col("n_b") * F.lit(2 * THRESHOLD) / (100 + THRESHOLD)))
     smaller = (F.col("n_b") < F.col("n_a")) | ((F.col("n_b") == F.col("n_a")) & (F.col("node_b") < F.col("node_a")))
-    met = side("a").join(early, "shingle").where(smaller & (F.col("component_a") != F.col("component_b"))).where(_sizes_allow(F.col("n_a"), F.col("n_b")))
     room = F.least(F.col("n_a") - F.col("i_a"), F.col("n_b") - F.col("i_b"))
-    met = met.where(room * (100 + THRESHOLD) >= (F.col("n_a") + F.col("n_b")) * THRESHOLD)
+    bounds = smaller & (F.col("component_a") != F.col("component_b")) & _sizes_allow(F.col("n_a"), F.col("n_b")) & (room * (100 + THRESHOLD) >= (F.col("n_a") + F.col("n_b")) * THRESHOLD)
+    met = side("a").join(early, "shingle").where(bounds & _may_be_similar())
     return met.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b"))
 
 
+def _may_be_similar() -> Column:
+    """Whether two joined rows' sets may be similar: by the sets where both are at hand, else by registers, and true
+    where one is small and the other large."""
+    differ = _registers_differ([F.col(f"{w}_a") for w in WORDS], [F.col(f"{w}_b") for w in WORDS])
+    # the intersection is named once: named twice, it would be computed up front for every pair, before the cheap tests
+    alike = (F.size(F.array_intersect("members_a", "members_b")) + F.col("lost_a")) * (100 + THRESHOLD) >= (F.col("n_a") + F.col("n_b")) * THRESHOLD
+    return F.when(F.col("members_a").isNull() | F.col("members_b").isNull(), F.coalesce(differ <= MOST_DIFFERENT, F.lit(True))).otherwise(alike)
+
+
 def _pairs_by_groups(open_rows: DataFrame, classes: DataFrame, texts: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
     """(a, b): pairs of the members (key, node, n, component) of small groups that may be similar; tables to drop after."""
     sketches = classes.select("node", "regs").mapInPandas(_short, "node long, bands array<bigint>, " + ", ".join(f"{w} long" for w in WORDS))
@@ -287,14 +335,9 @@ def _pairs_by_groups(open_rows: DataFrame, classes: DataFrame, texts: DataFrame)
     parts = small.select("node", F.array_distinct(cut).alias("cut"), F.size("members").alias("size")).select("node", F.col("cut").alias("members"), (F.col("size") - F.size("cut")).alias("lost"))
     open_rows = materialize(open_rows.join(sketches, "node").join(parts, "node", "left"), "open")
     one_side = lambda x: open_rows.select("key", *(F.col(c).alias(f"{c}_{x}") for c in ("node", "n", "component", "members", "lost", "bands", *WORDS)))
-    differ = _registers_differ([F.col(f"{w}_a") for w in WORDS], [F.col(f"{w}_b") for w in WORDS])
     # of the bands that two share, the first in order compares them
     once = F.array_min(F.array_intersect("bands_a", "bands_b")) == F.col("key")
-    # the intersection is named once: named twice, it would be computed up front for every pair, before the cheap tests
-    alike = (F.size(F.array_intersect("members_a", "members_b")) + F.col("lost_a")) * (100 + THRESHOLD) >= (F.col("n_a") + F.col("n_b")) * THRESHOLD
-    # registers decide only where a set isn't at hand
-    similar = F.when(F.col("members_a").isNull() | F.col("members_b").isNull(), differ <= MOST_DIFFERENT).otherwise(alike)
-    rest = one_side("a").join(one_side("b"), "key").where("node_a < node_b and component_a <> component_b").where(_sizes_allow(F.col("n_a"), F.col("n_b")) & once & similar)
+    rest = one_side("a").join(one_side("b"), "key").where("node_a < node_b and component_a <> component_b").where(_sizes_allow(F.col("n_a"), F.col("n_b")) & once & _may_be_similar())
     return rest.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")), [small, open_rows]
 
 
@@ -337,7 +380,7 @@ def near_duplicates(docs: DataFrame, group: int = GROUP) -> DataFrame:
     crowded = materialize(open_rows.where(F.col("open") > group).select("node", "n", "component").distinct(), "crowded")
     if not crowded.isEmpty():
         sets = _sets_of(crowded.select("node").join(classes.select("node", "first", "digest"), "node"), texts)
-        rest, used = rest.unionByName(_pairs_by_prefix(crowded, sets)), [*used, sets]
+        rest, used = rest.unionByName(_pairs_by_prefix(crowded, sets, classes)), [*used, sets]
     last = _verified(rest.distinct(), classes, texts)
     final = found
     if not last.isEmpty():
