@@ -32,15 +32,17 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies the document with the smallest id stays, in one row.
 
-    Where that id has several rows, the least of those with a text that is kept stays (rows without an id stay all:
-    nothing says that they are one document).
+    Where that id has several rows, the least of those with a text stays (rows without an id stay all: nothing says
+    that they are one document).  The ids that go and those that repeat are written first, so that the joins with the
+    texts are planned by their size.
     """
-    found = materialize(near_duplicates(docs).where("kept").groupBy("doc_id").count(), "kept")
-    kept = found.select("doc_id")
-    several = docs.join(found.where("count > 1 and doc_id is not null"), "doc_id", "left_semi").select(*docs.columns)
+    rows = materialize(near_duplicates(docs).select("doc_id", "kept"), "kept").where("doc_id is not null")
+    gone = materialize(rows.where("not kept").select("doc_id").distinct(), "gone")
+    often = materialize(rows.groupBy("doc_id").count().where("count > 1").select("doc_id"), "often")
+    left = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    several = left.join(often, "doc_id", "left_semi").select(*docs.columns)
     one = several.groupBy("doc_id").agg(F.min(F.struct(F.col("text").isNull().alias("none"), F.struct(*docs.columns).alias("own"))).alias("r")).select("r.own.*")
-    single = kept.join(found.where("count > 1 and doc_id is not null").select("doc_id"), "doc_id", "left_anti")
-    return docs.join(single, docs.doc_id.eqNullSafe(single.doc_id), "left_semi").unionByName(one)
+    return left.join(often, "doc_id", "left_anti").select(*docs.columns).unionByName(one)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
