@@ -21,10 +21,10 @@ def fold(doc_id: Column, of: int) -> Column:
 
 
 class WordHashes(dict):
-    """64-bit hash of each distinct word of a partition; emptied when it holds 200,000 words (some 40 MB)."""
+    """64-bit hash of each distinct word of a partition; emptied when it holds 100,000 words (some 20 MB)."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= 200_000:
+        if len(self) >= 100_000:
             self.clear()
         value = self[word] = xxhash.xxh3_64_intdigest(word)
         return value
@@ -40,7 +40,7 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+def small_batches(spark: SparkSession, rows: int = 500) -> None:
     """Hand Python workers at most ``rows`` rows at a time, so that a batch of very long texts stays small."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(key)) <= rows:
