@@ -57,14 +57,17 @@ def attach_bass(chords: DataFrame, basses: DataFrame) -> DataFrame:
     return chords.join(one, [*MEASURE, "seq"], "left").withColumn("bass", F.coalesce("bass", "b_bass")).drop("b_bass")
 
 
-def attach_suffixes(chords: DataFrame, suffixes: DataFrame, widths: DataFrame) -> DataFrame:
+def attach_suffixes(chords: DataFrame, suffixes: DataFrame, widths: DataFrame, width: float = 1000.0) -> DataFrame:
     """(doc_id, measure_index, suffix_seq, seq): the chord a numeric suffix belongs to: from max(12, 4 % of the measure)
-    before it to max(70, 34 %) after it, the nearest."""
+    before it to max(70, 34 %) after it, the nearest.  ``width``: of the bins in which a measure is sorted."""
     s = suffixes.select(*MEASURE, F.col("seq").alias("suffix_seq"), F.col("cx").alias("s_x"))
-    pairs = s.join(chords.select(*MEASURE, "seq", "cx"), MEASURE).join(widths, MEASURE)
-    d = F.col("s_x") - F.col("cx")
-    near = pairs.where((d >= -F.greatest(F.lit(12.0), F.col("width") * 0.04)) & (d <= F.greatest(F.lit(70.0), F.col("width") * 0.34)))
-    return near.groupBy(*MEASURE, "suffix_seq").agg(F.min(F.struct(F.abs(d).alias("d"), "seq"))["seq"].alias("seq"))
+    near = spatial.neighbours(s, chords.select(*MEASURE, "seq", "cx"), MEASURE, "s_x", "cx", "seq", width).join(widths, MEASURE)
+    reach = lambda least, share: F.greatest(F.lit(least), F.col("width") * share)
+    # within either side the nearest chord decides: if it is too far, all are
+    left = F.when(F.col("s_x") - F.col("_low.v") <= reach(70.0, 0.34), F.struct((F.col("s_x") - F.col("_low.v")).alias("d"), F.col("_low.id").alias("seq")))
+    right = F.when(F.col("_high.v") - F.col("s_x") <= reach(12.0, 0.04), F.struct((F.col("_high.v") - F.col("s_x")).alias("d"), F.col("_high.id").alias("seq")))
+    best = F.array_min(F.array_compact(F.array(left, right)))
+    return near.where(best.isNotNull()).groupBy(*MEASURE, "suffix_seq").agg(F.min(best)["seq"].alias("seq"))
 
 
 def consume_lower_basses(chords: DataFrame) -> DataFrame:

@@ -9,11 +9,12 @@ what is printed on it.
 
 from __future__ import annotations
 
+from bisect import insort
 from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -94,6 +95,25 @@ def interpolated_median(value: Column) -> Column:
     return F.coalesce(F.median(value), F.lit(0.0))
 
 
+def medians_by_rank(rows: DataFrame, keys: Sequence[str], value: str, width: float) -> DataFrame:
+    """(keys, middle, upper): the interpolated and the upper median of each key's values that aren't null.
+
+    Equal values are counted first, then bins of ``width``; only the bins that hold a middle rank are sorted.  No
+    key's values meet in one task, and every width gives the same medians.  Keys without values have no row.
+    """
+    counts = rows.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).cast("double").alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
+    counts = counts.withColumn("_bin", F.floor(F.col("_v") / width))
+    bins = counts.groupBy(*keys, "_bin").agg(F.sum("_n").alias("_held"))
+    whole = Window.partitionBy(*keys)
+    bins = bins.withColumns({"_before": F.sum("_held").over(whole.orderBy("_bin")) - F.col("_held"), "_total": F.sum("_held").over(whole)})
+    bins = bins.withColumns({"_lower": F.floor((F.col("_total") - 1) / 2), "_upper": F.floor(F.col("_total") / 2)})
+    within = lambda rank, start, n: (F.col(start) <= F.col(rank)) & (F.col(rank) < F.col(start) + F.col(n))
+    middle = counts.join(bins.where(within("_lower", "_before", "_held") | within("_upper", "_before", "_held")), [*keys, "_bin"])
+    start = F.col("_before") + F.sum("_n").over(Window.partitionBy(*keys, "_bin").orderBy("_v")) - F.col("_n")
+    found = middle.withColumn("_start", start).groupBy(*keys).agg(*(F.max(F.when(within(r, "_start", "_n"), F.col("_v"))).alias(r) for r in ("_lower", "_upper")))
+    return found.select(*keys, (0.5 * F.col("_lower") + 0.5 * F.col("_upper")).alias("middle"), F.col("_upper").alias("upper"))
+
+
 def gcd(a: Column, b: Column) -> Column:
     """Greatest common divisor of two positive numbers up to 2^44, by 64 steps of Euclid."""
     step = lambda s, _: F.when(s["b"] == 0, s).otherwise(F.struct(s["b"].alias("a"), (s["a"] % F.when(s["b"] == 0, 1).otherwise(s["b"])).alias("b")))
@@ -143,13 +163,17 @@ class Group:
 
     def __init__(self, value: object, anchor: str) -> None:
         self.values, self.anchor, self.point = [value], anchor, value
+        self.total = value if anchor == "mean" else 0.0
 
     def add(self, value: object) -> None:
+        if self.anchor == "median":
+            insort(self.values, value)
+            self.point = (self.values[(len(self.values) - 1) // 2] + self.values[len(self.values) // 2]) / 2
+            return
         self.values.append(value)
         if self.anchor == "mean":
-            self.point = float(np.mean(self.values))
-        elif self.anchor == "median":
-            self.point = float(np.median(self.values))
+            self.total += value
+            self.point = self.total / len(self.values)
         elif self.anchor == "union":
             a, b = self.point, value
             self.point = (min(a[0], b[0]), min(a[1], b[1]), max(a[2], b[2]), max(a[3], b[3]))

@@ -95,7 +95,8 @@ def quota_mix(rows: DataFrame, source: str, order: Sequence[Column], weights: di
     take = quotas(counts, weights, total)
     limit = F.try_element_at(F.create_map(*(F.lit(x) for pair in take.items() for x in pair)), F.col(source))
     ranked = rows.withColumn("_r", F.row_number().over(Window.partitionBy(source).orderBy(*order)))
-    return ranked.where(F.col("_r") <= limit).drop("_r")
+    most = max(take.values(), default=0)  # a constant bound, so that tasks drop what no source takes before the shuffle
+    return ranked.where((F.col("_r") <= most) & (F.col("_r") <= limit)).drop("_r")
 
 
 def weighted_distance(a: str, b: str, swap: dict[frozenset[str], float], cheap: frozenset[str], edit: float = 0.80, cheap_edit: float = 0.45) -> float:

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -164,3 +166,19 @@ def latest(rows: DataFrame, keys: Keys, order: Sequence[Column]) -> DataFrame:
 def first_per(rows: DataFrame, keys: Keys, order: Sequence[Column], n: int = 1) -> DataFrame:
     """The first ``n`` rows of each key."""
     return rows.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("_n") <= n).drop("_n")
+
+
+def ranked(rows: DataFrame, keys: Sequence[str], order: str, bucket: Column, rank: str, total: str) -> DataFrame:
+    """``rows`` with their ``rank`` (from 1) by ``order`` within their key, and the key's row count as ``total``.
+
+    ``bucket`` must rise with ``order`` (a prefix of a hash, a bin): rows are sorted within buckets, and what comes before a
+    bucket is added from the buckets' counts, so a key may hold any share of the rows.  Null keys are keys.
+    """
+    cut = rows.withColumn("_bucket", bucket)
+    place, whole = [*keys, "_bucket"], Window.partitionBy(*keys)
+    counts = cut.groupBy(*place).agg(F.count(F.lit(1)).alias("_n"))
+    counts = counts.withColumns({"_before": F.sum("_n").over(whole.orderBy("_bucket")) - F.col("_n"), total: F.sum("_n").over(whole)})
+    own = cut.withColumn("_own", F.row_number().over(Window.partitionBy(*place).orderBy(order))).alias("own")
+    same = reduce(and_, (F.col(f"own.{c}").eqNullSafe(F.col(f"counts.{c}")) for c in place))
+    met = own.join(counts.alias("counts"), same)
+    return met.select(*(F.col(f"own.{c}").alias(c) for c in rows.columns), (F.col("_own") + F.col("_before")).alias(rank), F.col(total))

@@ -3,7 +3,7 @@
 All joins have equi keys (a document, a page row): each key's rows meet in one place, and nothing is
 compared across keys.  Nearest joins keep one row per left row by ``min`` of an ordering struct, which is
 aggregated partially and gives ties a definite winner; where a key can be large and the distance is along
-one axis, ``nearest_value`` sorts instead of pairing, and ``overlaps`` pairs by bins.
+one axis, ``neighbours`` and what is built on it sort in bins instead of pairing, and ``overlaps`` pairs by bins.
 """
 
 from __future__ import annotations
@@ -36,21 +36,49 @@ def nearest(left: DataFrame, right: DataFrame, keys: Sequence[str], left_id: Seq
     return best_match(pairs, [*keys, *left_id], order, keep)
 
 
-def nearest_value(left: DataFrame, right: DataFrame, keys: Sequence[str], left_value: str, right_value: str, right_id: str) -> DataFrame:
-    """``left`` with the id and value of the nearest right value of its key; ties to the smaller id.
+def neighbours(left: DataFrame, right: DataFrame, keys: Sequence[str], left_value: str, right_value: str, right_id: str, width: float, strict: bool = False) -> DataFrame:
+    """``left`` with ``_low`` and ``_high``: struct(v, id) of the nearest right values of its key, at or below and at or
+    above its own (``strict``: below and above).  Of equal right values the smallest id counts.
 
-    Both sides are sorted together, so the work is n log n however many rows a key has.
+    Both sides are sorted together within bins of ``width``; what lies outside a bin comes from one row per bin.  Every
+    width gives the same rows: it only bounds what one task sorts, so a key may hold any share of the rows.  Null values
+    and null keys have no neighbours.
     """
-    ranked = right.groupBy(*keys, F.col(right_value).cast("double").alias("_v")).agg(F.min(right_id).alias("_id"))
-    points = left.select(*left.columns, F.col(left_value).cast("double").alias("_v"), F.lit(None).cast(ranked.schema["_id"].dataType).alias("_id"))
-    both = points.unionByName(ranked, allowMissingColumns=True).withColumn("_side", F.col("_id").isNull().cast("int"))
-    own = F.when(F.col("_side") == 0, F.struct("_v", "_id"))
-    down = Window.partitionBy(*keys).orderBy("_v", "_side").rowsBetween(Window.unboundedPreceding, 0)
-    up = Window.partitionBy(*keys).orderBy(F.col("_v").desc(), "_side").rowsBetween(Window.unboundedPreceding, 0)
-    met = both.withColumn("_low", F.last(own, ignorenulls=True).over(down)).withColumn("_high", F.last(own, ignorenulls=True).over(up)).where("_side = 1")
-    rank = lambda c: F.when(F.col(c).isNotNull(), F.struct(F.abs(F.col(f"{c}._v") - F.col("_v")).alias("d"), F.col(f"{c}._id").alias("id"), F.col(f"{c}._v").alias("v")))
-    best = F.array_min(F.array_compact(F.array(rank("_low"), rank("_high"))))
-    return met.withColumn("_best", best).select(*left.columns, F.col("_best.id").alias(right_id), F.col("_best.v").alias(right_value))
+    marks = right.dropna(subset=[*keys, right_value]).groupBy(*keys, F.col(right_value).cast("double").alias("_v")).agg(F.min(right_id).alias("id"))
+    marks = marks.select(*keys, "_v", F.struct(F.col("_v").alias("v"), "id").alias("_own"))
+    points = left.withColumns({"_v": F.col(left_value).cast("double"), "_own": F.lit(None).cast(marks.schema["_own"].dataType)})
+    both = points.unionByName(marks, allowMissingColumns=True).withColumn("_bin", F.floor(F.col("_v") / width))
+    place = [*keys, "_bin"]
+    point_first = F.col("_own").isNotNull() if strict else F.col("_own").isNull()
+    so_far = lambda order: Window.partitionBy(*place).orderBy(order, point_first).rowsBetween(Window.unboundedPreceding, 0)
+    near = both.withColumn("_under", F.last("_own", ignorenulls=True).over(so_far(F.col("_v").asc())))
+    near = near.withColumn("_over", F.last("_own", ignorenulls=True).over(so_far(F.col("_v").desc()))).where("_own is null")
+    earlier = lambda order: Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    ends = both.groupBy(*place).agg(F.max("_own").alias("_last"), F.min("_own").alias("_first"))
+    ends = ends.select(*place, F.last("_last", ignorenulls=True).over(earlier(F.col("_bin").asc())).alias("_below"), F.last("_first", ignorenulls=True).over(earlier(F.col("_bin").desc())).alias("_above"))
+    met = near.join(ends, place, "left")
+    return met.select(*left.columns, F.coalesce("_under", "_below").alias("_low"), F.coalesce("_over", "_above").alias("_high"))
+
+
+def _nearer(value: str) -> Column:
+    """struct(d, id, v) of the nearer of ``_low`` and ``_high``, the smaller id on ties."""
+    apart = lambda c: F.when(F.col(c).isNotNull(), F.struct(F.abs(F.col(f"{c}.v") - F.col(value).cast("double")).alias("d"), F.col(f"{c}.id").alias("id"), F.col(f"{c}.v").alias("v")))
+    return F.array_min(F.array_compact(F.array(apart("_low"), apart("_high"))))
+
+
+def nearest_value(left: DataFrame, right: DataFrame, keys: Sequence[str], left_value: str, right_value: str, right_id: str, width: float) -> DataFrame:
+    """``left`` with the id and value of the nearest right value of its key; ties to the smaller id (see ``neighbours``)."""
+    best = neighbours(left, right, keys, left_value, right_value, right_id, width).withColumn("_best", _nearer(left_value))
+    return best.select(*left.columns, F.col("_best.id").alias(right_id), F.col("_best.v").alias(right_value))
+
+
+def nearest_of_others(rows: DataFrame, keys: Sequence[str], row_id: str, value: str, out: str, width: float) -> DataFrame:
+    """``rows`` with the id of the other row of its key whose value is nearest, the smallest id on ties; ids are unique."""
+    equals = Window.partitionBy(*keys, value).orderBy(row_id)
+    least = F.first(row_id).over(equals.rowsBetween(Window.unboundedPreceding, 0))
+    equal = rows.withColumn("_equal", F.when(F.col(value).isNotNull(), F.when(least == F.col(row_id), F.lead(row_id).over(equals)).otherwise(least)))
+    best = neighbours(equal, rows, keys, value, value, row_id, width, strict=True)
+    return best.select(*rows.columns, F.coalesce("_equal", _nearer(value)["id"]).alias(out))
 
 
 def assign_interval(points: DataFrame, intervals: DataFrame, keys: Sequence[str], point_id: Sequence[str], at: str, left: str, right: str, index: str) -> DataFrame:
@@ -99,12 +127,11 @@ def expand_range(rows: DataFrame, start: str, end: str, index: str) -> DataFrame
     return rows.where(F.col(start) <= F.col(end)).withColumn(index, F.explode(F.sequence(start, end)))
 
 
-def region_bounds(points: DataFrame, regions: DataFrame, keys: Sequence[str], point_id: Sequence[str], at: str, start: str, end: str) -> DataFrame:
-    """For each point the largest region end above it (0 if none) and the smallest region start below it (1e12 if none)."""
-    pairs = points.join(regions, list(keys), "left")
-    above = F.max(F.when(F.col(end) < F.col(at), F.col(end)))
-    below = F.min(F.when(F.col(start) > F.col(at), F.col(start)))
-    return pairs.groupBy(*keys, *point_id, at).agg(F.coalesce(above, F.lit(0.0)).alias("above"), F.coalesce(below, F.lit(1e12)).alias("below"))
+def region_bounds(points: DataFrame, regions: DataFrame, keys: Sequence[str], at: str, start: str, end: str, width: float) -> DataFrame:
+    """``points`` with the largest region end above (0 if none) and the smallest region start below (1e12 if none)."""
+    upper = neighbours(points, regions, keys, at, end, end, width, strict=True).select(*points.columns, F.coalesce("_low.v", F.lit(0.0)).alias("above"))
+    lower = neighbours(upper, regions, keys, at, start, start, width, strict=True)
+    return lower.select(*upper.columns, F.coalesce("_high.v", F.lit(1e12)).alias("below"))
 
 
 def propagate_best(rows: DataFrame, keys: Sequence[str], usable: Column, score: Column, seq: str, value: str) -> DataFrame:

@@ -12,19 +12,43 @@ from neume.operators import sequence as S
 LEAST_MEASURE = 12.0
 
 
+def _starts(lengths: Column) -> Column:
+    """Where each of consecutive lengths starts."""
+    empty = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
+    return F.aggregate(lengths, empty, lambda s, n: F.struct((s["at"] + n).alias("at"), F.array_append(s["out"], s["at"]).alias("out")), lambda s: s["out"])
+
+
+def _chunks(words: Column, size: int = 256) -> Column:
+    """An array of words as chunks: struct(words, starts within the chunk, characters before it, first word's number,
+    number of all words, characters of all words with a blank between).  Chunks keep the running sums short on long texts."""
+    spans = lambda w: F.transform(w, lambda x: F.length(x) + 1)
+    total = lambda xs: F.aggregate(xs, F.lit(0), lambda s, n: s + n)
+
+    def cut(w: Column) -> Column:
+        parts = F.transform(F.sequence(F.lit(0), F.floor((F.size(w) - 1) / size).cast("int")), lambda i: F.slice(w, i * size + 1, F.lit(size)))
+        return F.transform(F.array(F.struct(parts.alias("parts"), F.size(w).alias("n"))), placed)
+
+    def placed(p: Column) -> Column:
+        sums = F.transform(p["parts"], lambda c: total(spans(c)))
+        return F.transform(F.array(F.struct(sums.alias("sums"), _starts(sums).alias("before"))), lambda t: joined(p, t))
+
+    def joined(p: Column, t: Column) -> Column:
+        return F.transform(p["parts"], lambda c, i: F.struct(c.alias("words"), _starts(spans(c)).alias("starts"), F.get(t["before"], i).alias("before"), (i * size).alias("first"), p["n"].alias("parts"), (total(t["sums"]) - 1).alias("total")))
+
+    return F.flatten(F.flatten(F.flatten(F.transform(F.array(words), cut))))
+
+
 def expand(tokens: DataFrame, text: str = "text") -> DataFrame:
     """A row per blank-separated word, its box a share of the token's by characters; page columns that said where the
     whole token was (row_index, col_index, measure_index, region) become null."""
-    word = F.posexplode(F.split(F.trim(text), r"\s+"))
-    rows = tokens.where(F.trim(text) != "").select(*tokens.columns, word.alias("part", "word"))
-    key = ["doc_id", "seq"]
-    before = F.coalesce(F.sum(F.length("word") + 1).over(Window.partitionBy(*key).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    total = F.sum(F.length("word") + 1).over(Window.partitionBy(*key)) - 1
+    pieces = F.split(F.trim(text), r"\s+")
+    rows = tokens.where(F.trim(text) != "").select(*tokens.columns, F.explode(_chunks(pieces)).alias("_c"))
+    rows = rows.select(*tokens.columns, F.col("_c.words").alias("_words"), F.posexplode("_c.starts").alias("_i", "_start"), "_c.before", "_c.first", "_c.parts", "_c.total")
+    rows = rows.select(*tokens.columns, F.get("_words", F.col("_i")).alias("word"), (F.col("first") + F.col("_i")).alias("part"), (F.col("before") + F.col("_start")).alias("_before"), F.col("parts").alias("_n"), F.col("total").alias("_total"))
     b = F.col("bbox")
-    width = (b["x1"] - b["x0"]) / total
-    parts = F.count(F.lit(1)).over(Window.partitionBy(*key))
-    x0 = b["x0"] + before * width
-    rows = rows.withColumn("_n", parts).withColumn("_box", G.box(x0, b["y0"], x0 + F.length("word") * width, b["y1"]))
+    width = (b["x1"] - b["x0"]) / F.col("_total")
+    x0 = b["x0"] + F.col("_before") * width
+    rows = rows.withColumn("_box", G.box(x0, b["y0"], x0 + F.length("word") * width, b["y1"]))
     out = []
     for c in tokens.columns:
         if c == text:

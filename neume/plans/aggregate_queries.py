@@ -11,9 +11,8 @@ from neume.plans.tables import table
 
 
 def medians(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Interpolated and upper median of quantities by return flag."""
-    li = table(spark, sf_dir, "lineitem")
-    return li.groupBy("l_returnflag").agg(folds.interpolated_median(F.col("l_extendedprice")).alias("middle"), folds.upper_median(F.col("l_extendedprice")).alias("upper"))
+    """Interpolated and upper median of prices by return flag."""
+    return folds.medians_by_rank(table(spark, sf_dir, "lineitem"), ["l_returnflag"], "l_extendedprice", 500.0)
 
 
 def common_division(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,16 +22,15 @@ def common_division(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def outlier_3sigma(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Order prices within three population deviations of their priority's mean."""
-    w = Window.partitionBy("o_orderpriority")
-    o = table(spark, sf_dir, "orders").withColumn("m", F.avg("o_totalprice").over(w)).withColumn("s", F.stddev_pop("o_totalprice").over(w))
-    return o.where(F.abs(F.col("o_totalprice") - F.col("m")) <= 1.5 * F.col("s")).groupBy("o_orderpriority").agg(F.count(F.lit(1)).alias("n_kept"))
+    """Order prices within one and a half population deviations of their priority's mean."""
+    kept = metrics.usual_rows(table(spark, sf_dir, "orders"), ["o_orderpriority"], "o_totalprice", 1.5)
+    return kept.groupBy("o_orderpriority").agg(F.count(F.lit(1)).alias("n_kept"))
 
 
 def edge_of_vision(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts that are short (under half the mean size) at the 1 % and 99 % edges of their type's price range go."""
-    w = Window.partitionBy("p_type")
-    p = table(spark, sf_dir, "part").withColumn("mean", F.avg("p_size").over(w)).withColumn("lo", F.min("p_retailprice").over(w)).withColumn("hi", F.max("p_retailprice").over(w))
+    p = table(spark, sf_dir, "part")
+    p = p.join(p.groupBy("p_type").agg(F.avg("p_size").alias("mean"), F.min("p_retailprice").alias("lo"), F.max("p_retailprice").alias("hi")), "p_type")
     at = (F.col("p_retailprice") - F.col("lo")) / (F.col("hi") - F.col("lo"))
     short = F.col("p_size") < F.col("mean") / 2
     return p.where(~(short & ((at < 0.01) | (at > 0.99)))).groupBy("p_type").agg(F.count(F.lit(1)).alias("n"))
@@ -183,8 +181,7 @@ def validation_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first tenth of each source by a seeded order of ids is for validation."""
     d = table(spark, sf_dir, "documents").select("doc_id", "source")
     r = d.withColumn("draw", F.sha2(F.concat_ws(":", F.lit("17"), F.col("doc_id").cast("string")), 256))
-    w, a = Window.partitionBy("source").orderBy("draw"), Window.partitionBy("source")
-    place = r.withColumn("r", F.row_number().over(w)).withColumn("n", F.count(F.lit(1)).over(a))
+    place = S.ranked(r, ["source"], "draw", F.substring("draw", 1, 3), "r", "n")
     return place.select("doc_id", (F.col("r") <= F.floor(F.col("n") / 10)).alias("validation"))
 
 

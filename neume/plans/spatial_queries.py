@@ -10,6 +10,9 @@ from neume.operators import sequence as S
 from neume.operators import spatial as J
 from neume.plans.tables import table
 
+#: Width of the bins in which balances are sorted.
+BALANCES = 250.0
+
 
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", "value")
@@ -45,7 +48,7 @@ def nearest_match_tiebreak(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each customer's supplier of the same nation with the nearest balance, ties to the smaller key."""
     customers = table(spark, sf_dir, "customer").select("c_custkey", F.col("c_nationkey").alias("nation"), "c_acctbal")
     suppliers = table(spark, sf_dir, "supplier").select("s_suppkey", F.col("s_nationkey").alias("nation"), "s_acctbal")
-    return J.nearest_value(customers, suppliers, ["nation"], "c_acctbal", "s_acctbal", "s_suppkey").select("c_custkey", "s_suppkey", "s_acctbal")
+    return J.nearest_value(customers, suppliers, ["nation"], "c_acctbal", "s_acctbal", "s_suppkey", BALANCES).select("c_custkey", "s_suppkey", "s_acctbal")
 
 
 def banded_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -103,7 +106,7 @@ def region_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For each customer the balance band edges of its nation's suppliers above and below."""
     customers = table(spark, sf_dir, "customer").select("c_custkey", F.col("c_nationkey").alias("nation"), "c_acctbal")
     regions = table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("nation"), F.col("s_acctbal").alias("start"), (F.col("s_acctbal") + 100).alias("end"))
-    return J.region_bounds(customers, regions, ["nation"], ["c_custkey"], "c_acctbal", "start", "end").select("c_custkey", F.round("above", 2).alias("above"), F.round("below", 2).alias("below"))
+    return J.region_bounds(customers, regions, ["nation"], "c_acctbal", "start", "end", BALANCES).select("c_custkey", F.round("above", 2).alias("above"), F.round("below", 2).alias("below"))
 
 
 def subset_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -118,9 +121,7 @@ def subset_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 def nearest_other(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each supplier against all others of its nation: the one with the least difference in balance."""
     s = table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("nation"), "s_suppkey", "s_acctbal")
-    other = s.select("nation", F.col("s_suppkey").alias("other"), F.col("s_acctbal").alias("other_bal"))
-    found = J.nearest(s, other, ["nation"], ["s_suppkey"], F.abs(F.col("s_acctbal") - F.col("other_bal")), ["other"], ["other"], within=F.col("s_suppkey") != F.col("other"))
-    return found.select("s_suppkey", "other")
+    return J.nearest_of_others(s, ["nation"], "s_suppkey", "s_acctbal", "other", BALANCES).select("s_suppkey", "other")
 
 
 def reference_join(spark: SparkSession, sf_dir: str) -> DataFrame:

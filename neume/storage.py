@@ -78,3 +78,14 @@ def remove(spark: SparkSession, path: str) -> None:
     target = jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
     _LEFT.discard(path)
+
+
+def whole_tables(spark: SparkSession, folder: str) -> list[int]:
+    """The numbers that name tables under ``folder`` whose writing was completed; none if there is no folder."""
+    jvm = spark.sparkContext._jvm
+    top = jvm.org.apache.hadoop.fs.Path(folder)
+    files = top.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not files.exists(top):
+        return []
+    names = [s.getPath().getName() for s in files.listStatus(top)]
+    return sorted(int(n) for n in names if n.isdigit() and files.exists(jvm.org.apache.hadoop.fs.Path(f"{folder}/{n}/_SUCCESS")))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from neume.operators.sequence import latest
+from neume.storage import remove, whole_tables
 
 STATUSES = ("queued", "processing", "completed", "failed")
 
@@ -40,17 +41,23 @@ def latest_status_stream(spark: SparkSession, source: DataFrame, key: str, order
     """Run a stream of records to its end; one row per key, its last by ``order``.
 
     Every batch merges with the state the batch before wrote, so late and repeated records change nothing; a
-    batch that runs twice writes the same state again, and a lost run goes on from its checkpoint.
+    batch that runs twice writes the same state again, and a lost run goes on from its checkpoint.  Which state is the
+    last is read from the folder, so a run without new records returns the state that is there.  The states before
+    the last two go: a batch that runs again needs the one before it.
     """
-    state, done = f"{checkpoint}/state", []
+    state = f"{checkpoint}/state"
 
     def merge(batch: DataFrame, number: int) -> None:
-        before = batch.sparkSession.read.schema(batch.schema).parquet(f"{state}/{number - 1}") if number else batch.limit(0)
+        spark = batch.sparkSession
+        before = spark.read.schema(batch.schema).parquet(f"{state}/{number - 1}") if number else batch.limit(0)
         latest(before.unionByName(batch), [key], [F.col(order)]).write.mode("overwrite").parquet(f"{state}/{number}")
-        done.append(number)
+        for old in whole_tables(spark, state):
+            if old < number - 1:
+                remove(spark, f"{state}/{old}")
 
     query = source.writeStream.foreachBatch(merge).option("checkpointLocation", f"{checkpoint}/offsets").trigger(availableNow=True).start()
     query.awaitTermination()
+    done = whole_tables(spark, state)
     return spark.read.schema(source.schema).parquet(f"{state}/{max(done)}") if done else spark.createDataFrame([], source.schema)
 
 
