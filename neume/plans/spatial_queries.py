@@ -38,6 +38,18 @@ def nested_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return measure.groupBy("event_type").agg(F.array_sort(F.collect_list(F.struct("col_index", "chords"))).alias("measures"))
 
 
+def nested_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same nesting by a key of bounded size: a user's day with its measures with their chords, written as
+    type/measure=event@beat,...;type/measure=..."""
+    placed = interval_assign(spark, sf_dir).join(_events(spark, sf_dir).select("event_id", "user_id", F.to_date("ts").cast("string").alias("day"), "value"), "event_id")
+    page, place = ["user_id", "day"], ["event_type", "col_index"]
+    measure = placed.groupBy(*page, *place).agg(F.array_sort(F.collect_list(F.struct("value", "event_id", "beat"))).alias("chords"))
+    nested = measure.groupBy(*page).agg(F.array_sort(F.collect_list(F.struct(*place, "chords"))).alias("measures"))
+    chord = lambda c: F.concat_ws("@", c["event_id"].cast("string"), c["beat"].cast("string"))
+    written = F.transform("measures", lambda m: F.concat(m["event_type"], F.lit("/"), m["col_index"].cast("string"), F.lit("="), F.array_join(F.transform(m["chords"], chord), ",")))
+    return nested.select(*page, F.size("measures").alias("n_measures"), F.array_join(written, ";").alias("chords"))
+
+
 def nested_payload_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The nested documents flattened again: where each chord stands in its measure."""
     flat = nested_assignment(spark, sf_dir).select("event_type", F.explode("measures").alias("m")).select("event_type", "m.col_index", F.posexplode("m.chords").alias("pos", "c"))
@@ -151,7 +163,7 @@ def adjacent_boxes_semi_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.join(hit, "p_partkey", "left_anti").select("p_partkey")
 
 
-QUERIES = {f.__name__: f for f in (interval_assign, nested_assignment, nested_payload_roundtrip, nearest_match_tiebreak, banded_nearest, overlap_join, directional_next_bounded, range_expand_join, source_priority_antijoin, template_propagation, region_bounds, subset_join, nearest_other, reference_join, box_metrics, adjacent_boxes_semi_join)}
+QUERIES = {f.__name__: f for f in (interval_assign, nested_assignment, nested_days, nested_payload_roundtrip, nearest_match_tiebreak, banded_nearest, overlap_join, directional_next_bounded, range_expand_join, source_priority_antijoin, template_propagation, region_bounds, subset_join, nearest_other, reference_join, box_metrics, adjacent_boxes_semi_join)}
 
 _MEASURES = """
 tens AS (SELECT DISTINCT event_type, floor(value / 20) * 20.0 AS x FROM events WHERE value >= 20 AND value < 200),
@@ -165,6 +177,8 @@ placed AS (SELECT event_id, f.event_type, f.value, f.i AS col_index, floor(great
 
 ORACLE = {
     "interval_assign": f"WITH {_MEASURES} SELECT event_id, event_type, col_index, beat FROM placed",
+    "nested_days": f"""WITH {_MEASURES}, m AS (SELECT user_id, ts::DATE::VARCHAR AS day, p.event_type, col_index, string_agg(event_id || '@' || beat, ',' ORDER BY p.value, event_id) AS chords FROM placed p JOIN events USING (event_id) GROUP BY 1, 2, 3, 4)
+SELECT user_id, day, count(*)::INT AS n_measures, string_agg(event_type || '/' || col_index || '=' || chords, ';' ORDER BY event_type, col_index) AS chords FROM m GROUP BY 1, 2""",
     "nested_payload_roundtrip": f"WITH {_MEASURES} SELECT event_type, col_index, row_number() OVER (PARTITION BY event_type, col_index ORDER BY value, event_id) - 1 AS pos, event_id, beat FROM placed",
     "nearest_match_tiebreak": """
 SELECT c_custkey, arg_min(s_suppkey, (abs(c_acctbal - s_acctbal), s_suppkey)) AS s_suppkey, arg_min(s_acctbal, (abs(c_acctbal - s_acctbal), s_suppkey)) AS s_acctbal
