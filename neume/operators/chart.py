@@ -6,6 +6,7 @@ chords (doc_id, seq, measure_index, cx, cy, text_norm, bass).
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -78,14 +79,17 @@ def consume_lower_basses(chords: DataFrame) -> DataFrame:
     def run(page: pd.DataFrame) -> pd.DataFrame:
         page = page.sort_values(["cx", "cy", "seq"], kind="stable").reset_index(drop=True)
         reach = max(45.0, 0.22 * float(page.width.iloc[0]))
+        xs, ys, basses = page.cx.to_numpy(float), page.cy.to_numpy(float), list(page.bass)
+        bare = page.text_norm.fillna("").str.fullmatch("[A-G][b#]?").to_numpy(bool)
         gone: set[int] = set()
-        for i, row in page.iterrows():
-            if not (isinstance(row.text_norm, str) and len(row.text_norm) <= 2 and row.text_norm[:1] in tuple("ABCDEFG") and row.text_norm[1:] in ("", "b", "#")):
-                continue
-            above = [(abs(o.cx - row.cx), j) for j, o in page.iterrows() if j != i and j not in gone and o.cy < row.cy and pd.isna(o.bass) and abs(o.cx - row.cx) <= reach]
+        for i in np.flatnonzero(bare):
+            low, high = np.searchsorted(xs, (xs[i] - reach - 1, xs[i] + reach + 1))  # the rows are sorted by place
+            able = (j for j in range(low, high) if j != i and j not in gone and ys[j] < ys[i] and pd.isna(basses[j]))
+            above = [(apart, j) for j in able if (apart := abs(xs[j] - xs[i])) <= reach]
             if above:
-                page.loc[min(above)[1], "bass"] = row.text_norm
+                basses[min(above)[1]] = page.text_norm[i]
                 gone.add(i)
+        page["bass"] = basses
         return page[~page.index.isin(gone)]
 
     return chords.groupBy(*MEASURE).applyInPandas(run, schema)
