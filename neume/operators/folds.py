@@ -4,16 +4,19 @@
 the JVM.  Greedy grouping whose comparison is against a changing group (its first, mean, median or union,
 in any open group or only the last) runs per key with ``applyInPandas``: ``greedy_groups`` is one engine for
 all of them, told what to compare with and which groups are open.  A key is a page or a measure: bounded by
-what is printed on it.
+what is printed on it.  Passes that meet very many small pages go through ``whole_pages``, which costs a Python call per
+batch of rows and not one per page.
 """
 
 from __future__ import annotations
 
 from bisect import insort
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
+from itertools import pairwise
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -155,7 +158,48 @@ def same_place(iou: float = 2.0, overlap: float = 2.0, centers: float = -1.0) ->
 
 def near_place(iou: float, reach: float) -> Callable[[Box, Box], bool]:
     """Whether two boxes are one thing: by intersection over union, or by centres no further apart than ``reach`` either way."""
-    return lambda a, b: _iou(a, b) >= iou or max(abs(a[0] + a[2] - b[0] - b[2]), abs(a[1] + a[3] - b[1] - b[3])) <= 2 * reach
+    return lambda a, b: (abs(a[0] + a[2] - b[0] - b[2]) <= 2 * reach and abs(a[1] + a[3] - b[1] - b[3]) <= 2 * reach) or _iou(a, b) >= iou
+
+
+def whole_pages(rows: DataFrame, keys: Sequence[str], order: Sequence[str], run: Callable[[pa.Table, list[int]], pa.Table], schema: T.StructType | str, ascending: Sequence[bool] | None = None) -> DataFrame:
+    """``run`` over ``rows``, many whole pages (the rows of one key) at a time, each in ``order`` with nulls last.
+
+    ``run`` gets a table and the places where its pages start, with the table's length at the end.  A page that goes on
+    in the next batch is held until its end.  Rows that are dealt by their keys already aren't shuffled again.
+    """
+    ways = ascending or [True] * len(order)
+    sort = [F.asc_nulls_last(c) if up else F.desc_nulls_last(c) for c, up in zip(order, ways, strict=True)]
+    placed = rows.withColumn("_place", F.row_number().over(Window.partitionBy(*keys).orderBy(*sort)))
+
+    def done(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        page = pa.Table.from_batches(held).combine_chunks()
+        if page.num_rows:
+            starts = np.flatnonzero(page["_place"].to_numpy() == 1).tolist()
+            yield from run(page.drop_columns("_place"), [*starts, page.num_rows]).combine_chunks().to_batches()
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            starts = np.flatnonzero(batch.column("_place").to_numpy() == 1)
+            if len(starts):
+                yield from done([*held, batch.slice(0, starts[-1])])
+                held = []
+            held.append(batch.slice(starts[-1]) if len(starts) else batch)
+        if held:
+            yield from done(held)
+
+    return placed.mapInArrow(cut, schema)
+
+
+def listed(page: pa.Table, column: str) -> list:
+    """A column's values, as pandas has them: a missing number is NaN."""
+    return page[column].to_numpy().tolist()
+
+
+def points_of(page: pa.Table, value: Sequence[str]) -> list:
+    """Numbers (one column) or boxes (four)."""
+    columns = [page[c].cast(pa.float64()).to_numpy().tolist() for c in value]
+    return columns[0] if len(value) == 1 else list(zip(*columns, strict=True))
 
 
 class Group:
@@ -236,19 +280,23 @@ def merge_readings(rows: DataFrame, keys: Sequence[str], order: Sequence[str], v
 def suppress(rows: DataFrame, keys: Sequence[str], order: Sequence[str], value: Sequence[str], matches: Callable[[object, object], bool], same: Sequence[str] = (), ascending: Sequence[bool] | None = None) -> DataFrame:
     """Greedy non-maximum suppression: in ``order``, a row stays unless it matches one that stayed."""
 
-    def run(page: pd.DataFrame) -> pd.DataFrame:
-        page = page.sort_values(list(order), ascending=list(ascending) if ascending else True, kind="stable")
-        points = list(page[value[0]].astype(float)) if len(value) == 1 else list(page[list(value)].astype(float).itertuples(index=False, name=None))
-        tags = list(page[list(same)].itertuples(index=False, name=None)) if same else [()] * len(page)
-        stayed, keep = [], []
-        for point, tag in zip(points, tags, strict=True):
-            fine = not any(t == tag and matches(p, point) for t, p in stayed)
-            keep.append(fine)
-            if fine:
-                stayed.append((tag, point))
-        return page[np.array(keep, bool)]
-
-    return rows.groupBy(*keys).applyInPandas(run, rows.schema)
+    def run(page: pa.Table, starts: list[int]) -> pa.Table:
+        points = points_of(page, value)
+        tags = list(zip(*(listed(page, c) for c in same), strict=True)) if same else [()] * len(points)
+        keep = np.zeros(len(points), bool)
+        for start, end in pairwise(starts):
+            stayed: dict[tuple, list] = {}
+            for i in range(start, end):
+                alike, point = stayed.setdefault(tags[i], []), points[i]
+                for p in alike:
+                    if matches(p, point):
+                        break
+                else:
+                    keep[i] = True
+                    alike.append(point)
+        return page.filter(pa.array(keep))
+
+    return whole_pages(rows, keys, order, run, rows.schema, ascending)
 
 
 def match_one_to_one(left: DataFrame, right: DataFrame, keys: Sequence[str], left_at: str, right_at: str, most: float) -> DataFrame:
