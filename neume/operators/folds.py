@@ -259,22 +259,28 @@ def merge_readings(rows: DataFrame, keys: Sequence[str], order: Sequence[str], v
     its place if it is more confident (a missing confidence is 0), with the representative's ``carry`` where its own is
     null.  A later row is compared with the representatives as they are then."""
 
-    def run(page: pd.DataFrame) -> pd.DataFrame:
-        page = page.sort_values(list(order), kind="stable").reset_index(drop=True)
-        boxes = list(page[list(value)].astype(float).itertuples(index=False, name=None))
-        texts, sure, carried = list(page[text]), page[confidence].fillna(0.0).tolist(), list(page[carry])
-        stands: list[int] = []
-        for i in range(len(page)):
-            at = next((k for k, j in enumerate(stands) if texts[j] == texts[i] and matches(boxes[j], boxes[i])), None)
-            if at is None:
-                stands.append(i)
-            elif sure[i] > sure[stands[at]]:
-                if pd.isna(carried[i]):
-                    carried[i] = carried[stands[at]]
-                stands[at] = i
-        return page.assign(**{carry: pd.array(carried, dtype="Int64")}).iloc[stands]
+    def run(page: pa.Table, starts: list[int]) -> pa.Table:
+        boxes, texts, carried = points_of(page, value), listed(page, text), page[carry].to_pylist()
+        sure = np.nan_to_num(page[confidence].cast(pa.float64()).to_numpy(), nan=0.0, posinf=np.inf, neginf=-np.inf).tolist()
+        kept: list[int] = []
+        for start, end in pairwise(starts):
+            stands: list[int] = []
+            for i in range(start, end):
+                box, words = boxes[i], texts[i]
+                for k, j in enumerate(stands):
+                    if texts[j] == words and matches(boxes[j], box):
+                        if sure[i] > sure[j]:
+                            if carried[i] is None:
+                                carried[i] = carried[j]
+                            stands[k] = i
+                        break
+                else:
+                    stands.append(i)
+            kept += stands
+        at = page.schema.get_field_index(carry)
+        return page.set_column(at, page.schema.field(at), pa.array(carried, page.schema.field(at).type)).take(pa.array(kept, pa.int64()))
 
-    return rows.groupBy(*keys).applyInPandas(run, rows.schema)
+    return whole_pages(rows, keys, order, run, rows.schema)
 
 
 def suppress(rows: DataFrame, keys: Sequence[str], order: Sequence[str], value: Sequence[str], matches: Callable[[object, object], bool], same: Sequence[str] = (), ascending: Sequence[bool] | None = None) -> DataFrame:

@@ -45,3 +45,22 @@ def test_suppress_over_many_pages(spark, small_batches):
         assert not calls_per_page(got)
         found = list(map(tuple, got.collect()))
         assert len(found) == len(want) and set(found) == want
+
+
+def test_merged_readings_over_many_pages(spark, small_batches):
+    pages, same, rng = pages_of(6), folds.near_place(0.35, 8.0), random.Random(7)
+    rows = [(k, i, "ab"[int(x) % 8 // 4], rng.choice((None, 0.0, 0.2, 0.5, 0.9)), rng.choice((None, i, 2**53 + 1 + i)), x, y, x + 20, y + 10) for k, page in pages.items() for i, x, y in page]
+    df = spark.createDataFrame(rows, "page long, seq int, text string, sure double, system long, x0 double, y0 double, x1 double, y1 double").repartition(3)
+    want = []
+    for k in pages:
+        stands: list[list] = []
+        for r in sorted((list(r) for r in rows if r[0] == k), key=lambda r: (r[6], r[5], r[1])):
+            met = next((n for n, s in enumerate(stands) if s[2] == r[2] and same(s[5:], r[5:])), None)
+            if met is None:
+                stands.append(r)
+            elif (r[3] or 0.0) > (stands[met][3] or 0.0):
+                stands[met] = [*r[:4], stands[met][4] if r[4] is None else r[4], *r[5:]]
+        want += map(tuple, stands)
+    got = folds.merge_readings(df, ["page"], ["y0", "x0", "seq"], BOX, same, "text", "sure", "system")
+    assert not calls_per_page(got)
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted(want, key=repr)
