@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from itertools import pairwise
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from neume.operators.folds import Box
+from neume.operators.folds import Box, listed, points_of, whole_pages
 
 
 def refined(hints: DataFrame, scans: DataFrame, keys: Sequence[str], width: str, same_root: bool) -> DataFrame:
@@ -43,28 +44,40 @@ def inferred_chords(chords: DataFrame, fragments: DataFrame, keys: Sequence[str]
     marks = fragments.where(rootless(F.col("text"))).select(*keys, "seq", "cx", "text")
     both = chords.select(*keys, *known, F.lit(None).cast("string").alias("text")).unionByName(marks, allowMissingColumns=True)
 
-    def infer(page: pd.DataFrame) -> pd.DataFrame:
-        page = page.sort_values("seq", kind="stable")
-        own = page[page.text.isna()]
-        templates = [(c.cx, c.root, c.body) for c in own.itertuples() if not c.low]
-        wide, given, out = own.width.max() if len(own) else 0.0, [x for x, _, _ in templates], []
-        for f in page[page.text.notna()].itertuples():
-            if any(abs(f.cx - x) <= max(40.0, 0.16 * wide) for x in given):
+    def infer(page: pa.Table, starts: list[int]) -> pa.Table:
+        cx, widths = points_of(page, ["cx"]), points_of(page, ["width"])
+        texts, low = listed(page, "text"), listed(page, "low")
+        page_roots, page_bodies = page["root"].to_pylist(), page["body"].to_pylist()
+        taken, roots, bodies = [], [], []
+        for start, end in pairwise(starts):
+            marks = [i for i in range(start, end) if texts[i] is not None]
+            if not marks or len(marks) == end - start:
                 continue
-            before = [(f.cx - x, i) for i, (x, _, _) in enumerate(templates) if 0 < f.cx - x <= max(80.0, 0.55 * wide)]
-            if not before:
-                continue
-            _, root, body = templates[min(before)[1]]
-            if not root or pd.isna(root):
-                continue
-            unknown = body is None or pd.isna(body)
-            body = body if not unknown and body.startswith("m") else "m" if unknown and "7" not in f.text else "m7"
-            templates.append((f.cx, root, body))
-            out.append((*(getattr(f, k) for k in keys), f.seq, f.cx, root, body))
-        return pd.DataFrame(out, columns=[*keys, "seq", "cx", "root", "body"])
+            own = [i for i in range(start, end) if texts[i] is None]
+            templates = [(cx[i], page_roots[i], page_bodies[i]) for i in own if not low[i]]
+            wide = max((widths[i] for i in own if widths[i] == widths[i]), default=0.0)
+            near, far = max(40.0, 0.16 * wide), max(80.0, 0.55 * wide)
+            given = [x for x, _, _ in templates]
+            for i in marks:
+                at = cx[i]
+                if any(abs(at - x) <= near for x in given):
+                    continue
+                before = [(at - x, n) for n, (x, _, _) in enumerate(templates) if 0 < at - x <= far]
+                if not before:
+                    continue
+                _, root, body = templates[min(before)[1]]
+                if not root:
+                    continue
+                body = body if body is not None and body.startswith("m") else "m" if body is None and "7" not in texts[i] else "m7"
+                templates.append((at, root, body))
+                taken.append(i)
+                roots.append(root)
+                bodies.append(body)
+        out = page.select([*keys, "seq", "cx"]).take(pa.array(taken, pa.int64()))
+        return out.append_column("root", pa.array(roots, page["root"].type)).append_column("body", pa.array(bodies, page["body"].type))
 
     types = dict(both.dtypes)
-    return both.groupBy(*keys).applyInPandas(infer, ", ".join(f"{c} {types[c]}" for c in (*keys, "seq", "cx", "root", "body")))
+    return whole_pages(both, keys, ["seq"], infer, ", ".join(f"{c} {types[c]}" for c in (*keys, "seq", "cx", "root", "body")))
 
 
 def headings(tokens: DataFrame, pages: DataFrame, keys: Sequence[str]) -> DataFrame:

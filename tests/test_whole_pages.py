@@ -6,7 +6,7 @@ import random
 
 import pytest
 
-from neume.operators import folds
+from neume.operators import folds, readings
 
 BOX = ["x0", "y0", "x1", "y1"]
 
@@ -64,3 +64,30 @@ def test_merged_readings_over_many_pages(spark, small_batches):
     got = folds.merge_readings(df, ["page"], ["y0", "x0", "seq"], BOX, same, "text", "sure", "system")
     assert not calls_per_page(got)
     assert sorted(map(tuple, got.collect()), key=repr) == sorted(want, key=repr)
+
+
+def test_inferred_chords_over_many_pages(spark, small_batches):
+    rng, rows = random.Random(8), []
+    for k, page in pages_of(9).items():
+        for i, x, y in page:
+            mark = rng.random() < 0.5
+            rows.append((k, i, x * 20 + y, None if mark else rng.choice("CG"), None if mark else rng.choice((None, "7", "m")), None if mark else rng.random() < 0.2, None if mark else 250.0, rng.choice(("0-7", "O-")) if mark else None))
+    df = spark.createDataFrame(rows, "page long, seq int, cx double, root string, body string, low boolean, width double, text string")
+    want = []
+    for k in pages_of(9):
+        page = [r for r in rows if r[0] == k]
+        known = [(r[2], r[3], r[4]) for r in page if r[7] is None and not r[5]]
+        given = list(known)
+        for r in page:
+            if r[7] is None or any(abs(r[2] - x) <= 40 for x, _, _ in given):
+                continue
+            before = [(r[2] - x, n) for n, (x, _, _) in enumerate(known) if 0 < r[2] - x <= 137.5]
+            if before:
+                _, root, body = known[min(before)[1]]
+                body = body if body and body[0] == "m" else "m" if body is None and "7" not in r[7] else "m7"
+                known.append((r[2], root, body))
+                want.append((k, r[1], r[2], root, body))
+    got = readings.inferred_chords(df.where("text is null").drop("text").repartition(3), df.where("text is not null").select("page", "seq", "cx", "text").repartition(2), ["page"])
+    assert not calls_per_page(got)
+    assert len(want) > 30
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted(want, key=repr)
