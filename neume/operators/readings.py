@@ -116,13 +116,20 @@ def distinct_staffs(rows: DataFrame, keys: Sequence[str], order: Sequence[str],
     """One greedy pass in ``order``: a row that overlaps none that stands, stands; one that overlaps a single one takes its
     place if it has more of ``size``; one that overlaps several is dropped."""
 
-    def run(page: pd.DataFrame) -> pd.DataFrame:
-        page = page.sort_values(list(order), kind="stable").reset_index(drop=True)
-        boxes, sizes, stands = list(page[list(value)].astype(float).itertuples(index=False, name=None)), page[size].tolist(), []
-        for i, box in enumerate(boxes):
-            met = [k for k in stands if overlaps(box, boxes[k])]
-            if not met or (len(met) == 1 and sizes[met[0]] < sizes[i]):
-                stands = [k for k in stands if k not in met] + [i]
-        return page.iloc[stands]
-
-    return rows.groupBy(*keys).applyInPandas(run, rows.schema)
+    def run(page: pa.Table, starts: list[int]) -> pa.Table:
+        boxes, sizes = points_of(page, value), listed(page, size)
+        kept: list[int] = []
+        for start, end in pairwise(starts):
+            stands: list[int] = []
+            for i in range(start, end):
+                box = boxes[i]
+                met = [k for k in stands if overlaps(box, boxes[k])]
+                if not met:
+                    stands.append(i)
+                elif len(met) == 1 and sizes[met[0]] < sizes[i]:
+                    stands.remove(met[0])
+                    stands.append(i)
+            kept += stands
+        return page.take(pa.array(kept, pa.int64()))
+
+    return whole_pages(rows, keys, order, run, rows.schema)

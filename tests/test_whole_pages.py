@@ -91,3 +91,21 @@ def test_inferred_chords_over_many_pages(spark, small_batches):
     assert not calls_per_page(got)
     assert len(want) > 30
     assert sorted(map(tuple, got.collect()), key=repr) == sorted(want, key=repr)
+
+
+def test_distinct_staffs_over_many_pages(spark, small_batches):
+    pages, rng = pages_of(10), random.Random(11)
+    rows = [(k, i, 0.0, x + y, 1.0, x + y + 8, rng.randrange(7)) for k, page in pages.items() for i, x, y in page]
+    df = spark.createDataFrame(rows, "page long, seq int, x0 double, y0 double, x1 double, y1 double, anchors int").repartition(3)
+    meet = lambda a, b: a[1] < b[3] and b[1] < a[3]
+    want = []
+    for k in pages:
+        stands: list[tuple] = []
+        for r in (r for r in rows if r[0] == k):
+            met = [s for s in stands if meet(r[2:6], s[2:6])]
+            if not met or (len(met) == 1 and met[0][6] < r[6]):
+                stands = [*(s for s in stands if s not in met), r]
+        want += stands
+    got = readings.distinct_staffs(df, ["page"], ["seq"], BOX, meet, "anchors")
+    assert not calls_per_page(got)
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted(want, key=repr)
