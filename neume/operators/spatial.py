@@ -3,15 +3,20 @@
 All joins have equi keys (a document, a page row): each key's rows meet in one place, and nothing is
 compared across keys.  Nearest joins keep one row per left row by ``min`` of an ordering struct, which is
 aggregated partially and gives ties a definite winner; where a key can be large and the distance is along
-one axis, ``neighbours`` and what is built on it sort in bins instead of pairing, and ``overlaps`` pairs by bins.
+one axis, ``neighbours`` and what is built on it sort in bins instead of pairing, ``overlaps`` pairs by bins, and
+``nearest_step`` searches sorted values of a bin.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def best_match(pairs: DataFrame, left: Sequence[str], order: Sequence[Column], keep: Sequence[str]) -> DataFrame:
@@ -81,6 +86,77 @@ def nearest_of_others(rows: DataFrame, keys: Sequence[str], row_id: str, value:
     return best.select(*rows.columns, F.coalesce("_equal", _nearer(value)["id"]).alias(out))
 
 
+def _least_in_step(at: np.ndarray, values: np.ndarray, ranks: np.ndarray, step: float, most: float) -> np.ndarray:
+    """For each of ``at`` the least rank among the sorted ``values`` at most ``most`` away that lie in the nearest one's
+    step; -1 where there is none.
+
+    Distances rise to either side, so these values are one range; its least rank comes from tables of ranges of 1, 2,
+    4, ... values.  The ends are told by the distances as they round, not by sums.
+    """
+    n, found = len(values), np.full(len(at), -1, np.int64)
+    if not n:
+        return found
+    apart = lambda x, i: np.abs(x - values[np.clip(i, 0, n - 1)])
+    middle = np.searchsorted(values, at)
+    nearest = np.minimum(np.where(middle > 0, apart(at, middle - 1), np.inf), np.where(middle < n, apart(at, middle), np.inf))
+    some = np.flatnonzero(nearest <= most)
+    x, k = at[some], np.floor(nearest[some] / step)
+    within = lambda i: (i >= 0) & (i < n) & (apart(x, i) <= most) & (np.floor(apart(x, i) / step) <= k)
+    reach = np.minimum(step * (k + 1), most)
+    start, end = np.searchsorted(values, x - reach), np.searchsorted(values, x + reach, "right")
+    while (wider := within(start - 1)).any():
+        start[wider] -= 1
+    while (out := ~within(start)).any():
+        start[out] += 1
+    while (wider := within(end)).any():
+        end[wider] += 1
+    while (out := ~within(end - 1)).any():
+        end[out] -= 1
+    levels = [ranks]
+    while 2 ** len(levels) <= n:
+        half = 2 ** (len(levels) - 1)
+        levels.append(np.minimum(levels[-1][:-half], levels[-1][half:]))
+    level = np.frexp(end - start)[1] - 1
+    for i in np.unique(level):
+        of = np.flatnonzero(level == i)
+        found[some[of]] = np.minimum(levels[i][start[of]], levels[i][end[of] - 2**i])
+    return found
+
+
+def nearest_step(left: DataFrame, right: DataFrame, keys: Sequence[str], left_value: str, right_value: str, left_tag: Column, right_tag: Column, right_id: str, step: float, most: float, width: float) -> DataFrame:
+    """``left`` with the id of the right row of its key at most ``most`` away: rows of its own tag first, then the fewest
+    whole steps of distance, then the smallest id; null if there is none.
+
+    Right rows are put into every bin of ``width`` that they can be reached from, the smallest id for each value and
+    tag, and left rows search them sorted: nothing is paired, and every width gives the same rows.  Keys that are null
+    and values that are null or not finite have no match.
+    """
+    finite = lambda c: F.when(F.abs(F.col(c).cast("double")) < float("inf"), F.col(c).cast("double"))
+    a = left.withColumns({"_v": finite(left_value), "_tag": left_tag}).withColumn("_bin", F.floor(F.col("_v") / width))
+    marks = right.select(*keys, finite(right_value).alias("_v"), right_tag.alias("_tag"), F.col(right_id).alias("_id")).dropna(subset=[*keys, "_v", "_id"])
+    marks = marks.groupBy(*keys, "_v", "_tag").agg(F.min("_id").alias("_id"))
+    reach = most + (F.abs("_v") + most) * 1e-9
+    b = marks.withColumn("_bin", F.explode(F.sequence(F.floor((F.col("_v") - reach) / width), F.floor((F.col("_v") + reach) / width))))
+    names = left.columns
+
+    def run(points: pa.Table, others: pa.Table) -> pa.Table:
+        others = others.combine_chunks().sort_by("_v")
+        ids, ranks = np.unique(others["_id"].to_numpy(), return_inverse=True)
+        at, values = points["_v"].to_numpy(), others["_v"].to_numpy()
+        found = np.full(len(at), -1, np.int64)
+        for tag in pc.unique(points["_tag"].drop_null()).to_pylist():
+            mine = np.flatnonzero(pc.fill_null(pc.equal(points["_tag"], tag), False).to_numpy())
+            own = np.flatnonzero(pc.fill_null(pc.equal(others["_tag"], tag), False).to_numpy())
+            found[mine] = _least_in_step(at[mine], values[own], ranks[own], step, most)
+        rest = np.flatnonzero(found < 0)
+        found[rest] = _least_in_step(at[rest], values, ranks, step, most)
+        got = pa.array(ids, others["_id"].type).take(pa.array(found, mask=found < 0))
+        return points.select(names).append_column(right_id, got)
+
+    schema = T.StructType([*left.schema.fields, T.StructField(right_id, right.schema[right_id].dataType)])
+    return a.groupBy(*keys, "_bin").cogroup(b.groupBy(*keys, "_bin")).applyInArrow(run, schema)
+
+
 def assign_interval(points: DataFrame, intervals: DataFrame, keys: Sequence[str], point_id: Sequence[str], at: str, left: str, right: str, index: str) -> DataFrame:
     """Each point's interval index: the first interval that holds it, ends included (so a boundary goes left).
 

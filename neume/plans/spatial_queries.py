@@ -67,12 +67,8 @@ def banded_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two-key nearest within a band: by balance step, then key distance, then key; same-parity suppliers first."""
     customers = table(spark, sf_dir, "customer").select("c_custkey", F.col("c_nationkey").alias("nation"), "c_acctbal")
     suppliers = table(spark, sf_dir, "supplier").select("s_suppkey", F.col("s_nationkey").alias("nation"), "s_acctbal")
-    step = F.floor(F.abs(F.col("c_acctbal") - F.col("s_acctbal")) / 500)
-    within = F.abs(F.col("c_acctbal") - F.col("s_acctbal")) <= 4000
-    prefer = (F.col("c_custkey") % 2 == F.col("s_suppkey") % 2) & within
-    pairs = suppliers.withColumn("key", F.col("s_suppkey"))
-    found = J.nearest(customers, pairs, ["nation"], ["c_custkey"], step, ["s_suppkey"], ["key"], prefer=prefer, within=within)
-    return found.select("c_custkey", F.col("key").alias("s_suppkey"))
+    found = J.nearest_step(customers, suppliers, ["nation"], "c_acctbal", "s_acctbal", F.col("c_custkey") % 2, F.col("s_suppkey") % 2, "s_suppkey", 500.0, 4000.0, 8 * BALANCES)
+    return found.select("c_custkey", "s_suppkey")
 
 
 def overlap_join(spark: SparkSession, sf_dir: str) -> DataFrame:
